@@ -1,7 +1,7 @@
 """The driver's queries over this subpackage's operators, and their SQL where SQL can say the same."""
 
-from tillgrain.llm.queries import op3, op6, op8
+from tillgrain.llm.queries import op3, op6, op8, op10
 
-MODULES = [op3, op6, op8]
+MODULES = [op3, op6, op8, op10]
 QUERIES = {m.NAME: m.query for m in MODULES}
 ORACLES = {m.NAME: m.ORACLE_SQL for m in MODULES if m.ORACLE_SQL}
