@@ -12,13 +12,16 @@ Texts with equal sets collapse into one *node* first, so copies cost nothing lat
    triangle windows would replicate nearly every text to every region; the README has the figures.) The global order
    puts shingles that many texts share last: ``common``, counted on a bounded sample. Any order gives
    the same links; this one keeps regions small.
-2. *Pivots.* In each region the smallest node is the pivot. The pair (node, pivot) is compared exactly, once
-   for all regions that ask. Nodes within eps = 1 - t of their pivot link to it: a group of copies becomes a
-   star around its pivot, never a clique.
+2. *Pivots.* A region, by set size, falls apart wherever the next size is out of reach of the last one. Of each
+   part the smallest set is the pivot, and the pair (node, pivot) is compared exactly, once for all regions that
+   ask. Before texts are read, a contraction decides: the counts of a set's shingles in ``BUCKETS`` hash
+   buckets are no farther apart (L1) than the sets (symmetric difference), so pairs too far apart there are
+   too far apart. Nodes within eps = 1 - t of their pivot link to it: a group of copies becomes a star around
+   its pivot, never a clique.
 3. *Recursion.* What a pivot didn't take in may still link. Its cell keeps the nodes farther than eps from it and,
    by the triangle inequality, of those within eps only the ones no nearer than the nearest outsider's
-   distance less eps. Cells of up to ``LOCAL`` shingles are joined in one task, by Voronoi cells around
-   further pivots with windows of 2 eps, until they are small enough to compare; larger cells choose
+   distance less eps. Cells of up to ``LOCAL`` shingles are joined in one task (after the contraction has
+   dismissed all that have no partner there), by Voronoi cells around further pivots with windows of 2 eps, until they are small enough to compare; larger cells choose
    several new pivots each round and shrink by what these settle, so no cell is ever gathered
    in one place.
 4. *Components.* Links are joined by spreading the smallest label, with pointer jumping.
@@ -48,8 +51,11 @@ SAMPLE = 8_000
 MOST_COMMON = 1 << 18
 LEAST_SEEN = 3
 #: Shingles that a cell joined in one task may have, and its nodes
-LOCAL, LOCAL_NODES = 1 << 20, 1 << 11
+LOCAL, LOCAL_NODES = 1 << 21, 1 << 12
 PIVOTS = 16
+BUCKETS = 128
+#: Keys of 16 bytes that may be broadcast; more are joined by shuffle
+BROADCAST_ROWS = 1 << 19
 
 
 def prefix_size(n, num: int, den: int):
@@ -72,15 +78,24 @@ def row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
+def _counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each set's shingles fall in each bucket, 255 at most (which brings counts no farther apart)."""
+    sets = len(bounds) - 1
+    bucket = (kernel.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    at = bucket + np.repeat(np.arange(sets) * BUCKETS, np.diff(bounds))
+    return np.minimum(np.bincount(at, minlength=sets * BUCKETS), 255).astype(np.uint8).reshape(sets, BUCKETS)
+
+
 def nodes_of(docs: DataFrame, n: int, *, doc_key: str, text: str) -> DataFrame:
-    """Per row: doc (its key), row (hash of key and text), n (set size), node (hash of the set)."""
-    schema = T.StructType([T.StructField("doc", docs.schema[doc_key].dataType), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
+    """Per row: doc (its key), row (hash of key and text), n (set size), node (hash of the set), counts (its contraction)."""
+    schema = T.StructType([T.StructField("doc", docs.schema[doc_key].dataType), *(T.StructField(c, T.LongType()) for c in ("row", "n", "node")), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(np.diff(b), _key(h, b)) for _, h, b in _sets(batch.column(2), n)]
+            found = [(np.diff(b), _key(h, b), _counts(h, b)) for _, h, b in _sets(batch.column(2), n)]
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=schema.names)
+                size, node, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(node), pa.array([c.tobytes() for c in counts], pa.binary())], names=schema.names)
 
     return docs.select(F.col(doc_key).alias("doc"), row_key(doc_key, text).alias("row"), F.col(text).alias("t")).mapInArrow(run, schema)
 
@@ -138,17 +153,46 @@ class Order:
 
 
 def _outer_regions(docs: DataFrame, n: int, num: int, den: int, order, text: str) -> DataFrame:
-    """(g, node): the nodes of each outer region."""
+    """(g, n, node): the nodes of each outer region, with their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = order.value
         for batch in batches:
             for _, h, b in _sets(batch.column(0), n):
                 keep = rule.prefixes(h, b, num, den)
-                node = np.repeat(_key(h, b), np.diff(b))
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[keep])], names=["g", "node"])
+                size = np.diff(b)
+                node, wide = np.repeat(_key(h, b), size), np.repeat(size, size)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(wide[keep].astype(np.int32)), pa.array(node[keep])], names=["g", "n", "node"])
+
+    return docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, "g long, n int, node long")
+
+
+def _pivoted(outer: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, nx, p, np): each node with the pivots of its regions' parts, once. By ascending size, a part ends where the next size
+    is out of reach of the last; its first node is the pivot."""
+    region = W.partitionBy("g").orderBy("n", "node")
+    begins = F.coalesce(F.lag("n").over(region) * den < F.col("n") * num, F.lit(True))
+    marked = outer.withColumn("head", F.when(begins, F.struct("node", "n")))
+    parts = marked.withColumn("head", F.last("head", ignorenulls=True).over(region.rowsBetween(W.unboundedPreceding, 0)))
+    return parts.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("p"), F.col("head.n").alias("np")).where("x <> p").distinct()
+
+
+def _contracted(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
+    """Adds low, a lower bound of the pair's distance, from sizes and contractions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.num_rows and [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (4, 5)]
+            if both:
+                total = batch.column(1).to_numpy() + batch.column(3).to_numpy()
+                apart = np.abs(both[0] - both[1]).sum(1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(2 * apart / (total + apart))], names=["x", "nx", "p", "np", "low"])
 
-    return docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, "g long, node long")
+    reach = F.least("nx", "np") * den >= F.greatest("nx", "np") * num
+    near = pairs.where(reach).join(counts.select(F.col("node").alias("x"), F.col("counts").alias("cx")), "x").join(counts.select(F.col("node").alias("p"), F.col("counts").alias("cp")), "p")
+    near = near.select("x", "nx", "p", "np", "cx", "cp").mapInArrow(run, "x long, nx int, p long, np int, low double")
+    far = pairs.where(~reach).select("x", "nx", "p", "np", (1 - F.least("nx", "np") / F.greatest("nx", "np")).alias("low"))
+    return near.unionByName(far)
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -274,40 +318,83 @@ def _join_cells(cells: DataFrame, n: int, num: int, den: int) -> DataFrame:
 # --- the join ---
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, doc_key: str, text: str) -> DataFrame:
+    """(node, t): a text of each asked node."""
+    first = stored(nodes.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
+    few = first.count() <= BROADCAST_ROWS
+    found = docs.select(row_key(doc_key, text).alias("row"), F.col(text).alias("t")).join(F.broadcast(first) if few else first, "row")
+    return stored(found.select("node", "t"))
+
+
+def _judged(pairs: DataFrame, counts: DataFrame, read, n: int, num: int, den: int) -> DataFrame:
+    """(x, nx, p, np, d, near): the exact distance of pairs that could link, a lower bound above eps of all others."""
+    bounds = stored(_contracted(pairs, counts, num, den))
+    limit = 1 - num / den + 1e-9
+    maybe = bounds.where(F.col("low") <= limit)
+    exact = _compare(maybe.select("x", "p"), read(maybe), n).withColumn("d", _distance()).withColumn("near", _linked(num, den))
+    exact = exact.select("x", F.col("nx").cast("int"), "p", F.col("np").cast("int"), "d", "near")
+    return stored(exact.unionByName(bounds.where(F.col("low") > limit).select("x", "nx", "p", "np", F.col("low").alias("d"), F.lit(False).alias("near"))))
+
+
+def _with_partner(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """``cells``: cell, node, near, size, counts. Those that the contraction leaves a possible partner in their cell, of which one
+    at least is an outsider."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").sort_values("size", kind="stable")
+        counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        size, near = rows["size"].to_numpy(), rows["near"].to_numpy()
+        keep = np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            j = np.arange(i + 1, np.searchsorted(size * num, size[i] * den, "right"))  # sizes within reach
+            if near[i]:
+                j = j[~near[j]]
+            if len(j):
+                apart = np.abs(counts[j] - counts[i]).sum(1)
+                j = j[apart * (den + num) <= (size[j] + size[i]) * (den - num)]
+                keep[j] = True
+                keep[i] |= len(j) > 0
+        return rows.loc[keep, ["cell", "node", "near"]]
+
+    return cells.groupBy("cell").applyInPandas(run, "cell long, node long, near boolean")
+
+
 def links_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, doc_key: str = "doc_id", text: str = "text") -> list[DataFrame]:
     """Links (x, p) between nodes, as stored frames: enough to connect all linked nodes."""
     spark, eps = docs.sparkSession, 1 - num / den
-    rows = nodes.count()
-    order = spark.sparkContext.broadcast(Order(common_shingles(docs, n, rows, doc_key=doc_key, text=text)))
-    outer = _outer_regions(docs, n, num, den, order, text)
-    region = W.partitionBy("g")
-    met = outer.withColumn("p", F.min("node").over(region)).withColumn("last", F.max("node").over(region)).where("p < last AND node <> p")
-    pairs = stored(met.select(F.col("node").alias("x"), "p").distinct())
+    order = spark.sparkContext.broadcast(Order(common_shingles(docs, n, nodes.count(), doc_key=doc_key, text=text)))
+    pairs = stored(_pivoted(_outer_regions(docs, n, num, den, order, text), num, den))
     asked = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("p").alias("node"))).distinct()
-    first = nodes.groupBy("node").agg(F.min("row").alias("row")).join(asked, "node", "left_semi")
-    texts = stored(docs.select(row_key(doc_key, text).alias("row"), F.col(text).alias("t")).join(first, "row").dropDuplicates(["row", "node"]).select("node", "t"))
-    compared = stored(_compare(pairs, texts, n).withColumn("d", _distance()).withColumn("near", _linked(num, den)))
-    links = [compared.where("near").select("x", "p")]
+    counts = stored(nodes.join(asked, "node", "left_semi").select("node", "counts").dropDuplicates(["node"]))
+
+    def read(maybe: DataFrame) -> DataFrame:
+        return _texts(docs, nodes, maybe.select(F.col("x").alias("node")).union(maybe.select(F.col("p").alias("node"))).distinct(), doc_key, text)
+
+    judged = _judged(pairs, counts, read, n, num, den)
+    links = [judged.where("near").select("x", "p")]
 
     # cells: what lies outside each pivot's reach, and the pivot's own nodes that could link with it
-    sides = compared.groupBy("p").agg(F.count(F.when(~F.col("near"), 1)).alias("out"), F.min(F.when(~F.col("near"), F.col("d"))).alias("nearest"))
-    cells = compared.join(sides.where("out > 0"), "p").where(f"NOT near OR d >= nearest - {eps} - 1e-9").select(F.col("p").alias("cell"), F.col("x").alias("node"), "near", F.col("nx").alias("size"), "d")
+    sides = judged.groupBy("p").agg(F.count(F.when(~F.col("near"), 1)).alias("out"), F.min(F.when(~F.col("near"), F.col("d"))).alias("nearest"))
+    cells = judged.join(sides.where("out > 0"), "p").where(f"NOT near OR d >= nearest - {eps} - 1e-9").select(F.col("p").alias("cell"), F.col("x").alias("node"), "near", F.col("nx").alias("size"), "d")
     while True:
         cells = stored(cells)
         weight = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("shingles"), F.count(F.when(~F.col("near"), 1)).alias("out")).where("nodes > 1 AND out > 0"))
         small = (F.col("shingles") <= LOCAL) & (F.col("nodes") <= LOCAL_NODES)
         kinds = weight.agg(F.count(F.when(small, 1)).alias("few"), F.count(F.when(~small, 1)).alias("many")).first()
         if kinds.few:
-            mine = cells.join(weight.where(small).select("cell"), "cell").select("cell", "node", "near").join(texts, "node")
-            links.append(stored(_join_cells(mine, n, num, den)))
+            mine = cells.join(weight.where(small).select("cell"), "cell").select("cell", "node", "near", "size").join(counts, "node")
+            mine = stored(_with_partner(mine, num, den))
+            texts = _texts(docs, nodes, mine.select("node").distinct(), doc_key, text)
+            links.append(stored(_join_cells(mine.join(texts, "node"), n, num, den)))
         if not kinds.many:
             return links
         cells = cells.join(weight.where(~small).select("cell"), "cell")
         # some pivots of each large cell: the smallest outsider of each hash bucket
-        pivots = cells.where("NOT near").groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("lot")).agg(F.min(F.struct("node", "d")).alias("v")).select("cell", F.col("v.node").alias("p"), F.col("v.d").alias("dp"))
-        asked = cells.join(pivots, "cell").where(f"node <> p AND abs(d - dp) <= {eps} + 1e-9").select("cell", F.col("node").alias("x"), "p")
-        compared = stored(_compare(asked.select("x", "p").distinct(), texts, n).withColumn("d", _distance()).withColumn("near", _linked(num, den)))
-        links.append(compared.where("near").select("x", "p"))
+        pivots = stored(cells.where("NOT near").groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("lot")).agg(F.min(F.struct("node", "size")).alias("v")).select("cell", F.col("v.node").alias("p"), F.col("v.size").alias("np")))
+        # of the cell's sets, only those whose size is in reach of the pivot's can link with it
+        wanted = cells.join(pivots, "cell").where("node <> p").where(F.least("size", "np") * den >= F.greatest("size", "np") * num)
+        judged = _judged(wanted.select(F.col("node").alias("x"), F.col("size").alias("nx"), "p", "np").distinct(), counts, read, n, num, den)
+        links.append(judged.where("near").select("x", "p"))
         # the pivots are settled against all they could link with; the rest goes on without them
         cells = cells.join(pivots.select("cell", F.col("p").alias("node")), ["cell", "node"], "left_anti")
 
