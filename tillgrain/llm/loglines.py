@@ -9,7 +9,9 @@ different documents have are recurring, and their lines are dropped.
 
 Only leaves that enough documents reach can hold a recurring template, so the counts of paths come first
 (two hashes a line) and all further steps see only lines of such leaves, each distinct generalised line
-once. Everything is DataFrame operations; a leaf is never gathered, only counted.
+once. Everything is DataFrame operations; a leaf is never gathered, only counted. Whole texts are shuffled
+twice at every size: lines to the leaves worth looking at, documents to their dropped lines. Both joins
+are told to merge, as what they join with grows with the documents.
 
 Special cases: a null text stays null with no lines; lines without a token are never dropped. Documents are
 told apart by a hash of key and text: repeated rows count as one document, and each is in the result. Other
@@ -55,7 +57,7 @@ def recurring_lines(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "te
     paths = _lines(docs, doc_key, text).select("leaf", "row")
     busy = stored(paths.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
     general = F.array_join(F.transform("tokens", _general), " ")
-    found = stored(_lines(docs, doc_key, text).join(busy, "leaf", "left_semi").select("row", "at", "leaf", general.alias("general")))
+    found = stored(_lines(docs, doc_key, text).join(busy.hint("merge"), "leaf", "left_semi").select("row", "at", "leaf", general.alias("general")))
 
     kinds = stored(found.groupBy("leaf", "general").agg(F.count(F.lit(1)).alias("n")))
     counted = kinds.select("leaf", "n", F.posexplode(F.split("general", " ")).alias("place", "token")).groupBy("leaf", "place", F.xxhash64("token").alias("token")).agg(F.sum("n").alias("n"))
@@ -68,14 +70,15 @@ def recurring_lines(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "te
     own = F.when(F.col("template").isNotNull() & (F.col("hits") >= similar * F.size(F.split("general", " "))), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "general"))
     named = matched.select("leaf", F.xxhash64("general").alias("line"), own.alias("name"))
     placed = stored(found.select("row", "at", "leaf", F.xxhash64("general").alias("line")).join(named, ["leaf", "line"]).select("row", "at", "name"))
-    again = placed.select("name", "row").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    return placed.join(again.select("name"), "name").groupBy("row").agg(F.collect_set("at").alias("dropped"))
+    # stored, so that the join below deals both sides anew and can split a template that very many documents have
+    again = stored(placed.select("name", "row").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("name"))
+    return placed.join(again, "name").groupBy("row").agg(F.collect_set("at").alias("dropped"))
 
 
 def dedup(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: key, n_lines, n_dropped, and the text without the dropped lines."""
     drops = stored(recurring_lines(docs, doc_key=doc_key, text=text, **options))
-    rows = docs.select(F.col(doc_key), F.col(text).alias("t"), F.xxhash64(F.col(doc_key), F.col(text)).alias("row")).join(drops, "row", "left")
+    rows = docs.select(F.col(doc_key), F.col(text).alias("t"), F.xxhash64(F.col(doc_key), F.col(text)).alias("row")).join(drops.hint("merge"), "row", "left")
     lines = F.split("t", "\n")
     rest = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("dropped", i)), "\n")
     return rows.select(
