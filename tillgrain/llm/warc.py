@@ -283,7 +283,9 @@ def convert_arcs(arcs: DataFrame, folder: str, *, least_bytes: int = 0) -> DataF
         roll.close()
         return pd.DataFrame(roll.done, columns=["path", "records"])
 
-    return stored(plan.groupBy("path").applyInPandas(write, _LIST))
+    # a partition number of our own: these few rows stand for whole files, and small partitions must not be merged
+    dealt = plan.repartition(max(1, min(10_000, arcs.count())), "path")
+    return stored(dealt.groupBy("path").applyInPandas(write, _LIST))
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
