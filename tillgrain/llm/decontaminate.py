@@ -110,27 +110,31 @@ def _sequences(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
+def _blocks(docs: DataFrame, items: DataFrame, item_key: str, text: str, n: int, containment: float, max_block_shingles: int) -> Iterator:
+    """Broadcast indexes of the items, each of a bounded size."""
+    items = items.select(F.col(item_key).alias("item"), F.col(text).alias("words"))
+    # an item has no more shingles than half its bytes, and one: a proven bound for what a block holds
+    total = items.agg(F.coalesce(F.sum(F.octet_length("words") / 2 + 1), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, int(-(-total // max_block_shingles)))
+    for block in range(count):
+        chosen = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == block)
+        index = ItemIndex([tuple(r) for r in chosen.collect()], n, containment)
+        if index.keys:
+            yield docs.sparkSession.sparkContext.broadcast(index)
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = SHINGLE_WORDS, containment: float = CONTAINMENT, max_block_shingles: int = MAX_BLOCK_SHINGLES
 ) -> DataFrame:
     """Pairs of a document and a test item it holds: doc key, item key, item_shingles, shared_shingles, containment."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_key).alias("item"), F.col(text).alias("words"))
-    # an item has no more shingles than bytes: a proven bound for what a block holds
-    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-total * 2 // (max_block_shingles * 8)))
-    fields = [T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema["item"].dataType)]
+    blocks = list(_blocks(docs, items, item_key, text, n, containment, max_block_shingles))
+    fields = [T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType)]
     schema = T.StructType([*fields, T.StructField("item_shingles", T.LongType()), T.StructField("shared_shingles", T.LongType()), T.StructField("containment", T.DoubleType())])
     arrow = pa.schema([("d", _arrow(fields[0].dataType)), ("i", _arrow(fields[1].dataType)), ("n", pa.int64()), ("s", pa.int64()), ("c", pa.float64())])
     arrow = pa.schema([pa.field(f.name, a.type) for f, a in zip(schema.fields, arrow, strict=True)])
     narrow = docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t"))
     out = None
-    for block in range(blocks):
-        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
-        index = ItemIndex([tuple(r) for r in chosen.collect()], n, containment)
-        if not index.keys:
-            continue
-        sent = spark.sparkContext.broadcast(index)
+    for sent in blocks:
 
         def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -145,7 +149,7 @@ def contaminated(
 
         part = narrow.mapInArrow(probe, schema)
         out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -154,8 +158,21 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no test item, all columns as they came. A document with a null key is never matched away."""
-    key = options.get("doc_key", "doc_id")
-    bad = contaminated(docs, items, **options).select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+def decontaminate(
+    docs: DataFrame, items: DataFrame, *, item_key: str = "item_id", text: str = "text", n: int = SHINGLE_WORDS, containment: float = CONTAINMENT, max_block_shingles: int = MAX_BLOCK_SHINGLES
+) -> DataFrame:
+    """The documents that hold no test item, all columns as they came; nothing is shuffled."""
+    at = docs.columns.index(text)
+    for sent in _blocks(docs, items, item_key, text, n, containment, max_block_shingles):
+        docs = docs.mapInArrow(_without(sent, at), docs.schema)
+    return docs
+
+
+def _without(sent, at: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = np.ones(batch.num_rows, bool)
+            fine[[row for row, _, _ in sent.value.matches(batch.column(at))]] = False
+            yield batch.filter(pa.array(fine))
+
+    return keep

@@ -182,6 +182,6 @@ def mixed(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", sourc
     """
     decided = mix(docs, doc_key=doc_key, text=text, source=source, **options).where("copies > 0").groupBy(F.col("digest").alias("_digest")).agg(F.sum("copies").alias("_copies"))
     # of rows alike in key, text and source the first carries the copies of all
-    same = docs.withColumn("_digest", digest(doc_key, text, source)).join(decided, "_digest")
+    same = docs.withColumn("_digest", digest(doc_key, text, source)).join(decided.hint("merge"), "_digest")
     first = same.withColumn("_number", F.row_number().over(W.partitionBy("_digest").orderBy("_digest"))).where("_number = 1")
     return first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
