@@ -56,8 +56,10 @@ def recurring_lines(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "te
     """(row, dropped): for each document with lines of recurring templates, their places (from 0)."""
     paths = _lines(docs, doc_key, text).select("leaf", "row")
     busy = stored(paths.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    general = F.array_join(F.transform("tokens", _general), " ")
-    found = stored(_lines(docs, doc_key, text).join(busy.hint("merge"), "leaf", "left_semi").select("row", "at", "leaf", general.alias("general")))
+    # the lines themselves are dealt, not their tokens, which would take several times the space
+    general = F.array_join(F.transform(tokens(F.col("line")), _general), " ")
+    lines = _lines(docs, doc_key, text).select("row", "at", "leaf", "line")
+    found = stored(lines.join(busy.hint("merge"), "leaf", "left_semi").select("row", "at", "leaf", general.alias("general")))
 
     kinds = stored(found.groupBy("leaf", "general").agg(F.count(F.lit(1)).alias("n")))
     counted = kinds.select("leaf", "n", F.posexplode(F.split("general", " ")).alias("place", "token")).groupBy("leaf", "place", F.xxhash64("token").alias("token")).agg(F.sum("n").alias("n"))
