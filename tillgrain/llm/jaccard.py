@@ -320,7 +320,7 @@ def _join_cells(cells: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, doc_key: str, text: str) -> DataFrame:
     """(node, t): a text of each asked node."""
-    first = stored(nodes.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
+    first = stored(nodes.join(asked, "node", "left_semi").select("node", "row"))
     few = first.count() <= BROADCAST_ROWS
     found = docs.select(row_key(doc_key, text).alias("row"), F.col(text).alias("t")).join(F.broadcast(first) if few else first, "row")
     return stored(found.select("node", "t"))
@@ -363,9 +363,11 @@ def links_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, d
     """Links (x, p) between nodes, as stored frames: enough to connect all linked nodes."""
     spark, eps = docs.sparkSession, 1 - num / den
     order = spark.sparkContext.broadcast(Order(common_shingles(docs, n, nodes.count(), doc_key=doc_key, text=text)))
+    # one row for each set, merged before anything is dealt by node: copies of one text may be many
+    nodes = stored(nodes.groupBy("node").agg(F.min("row").alias("row"), F.first("counts").alias("counts")))
     pairs = stored(_pivoted(_outer_regions(docs, n, num, den, order, text), num, den))
     asked = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("p").alias("node"))).distinct()
-    counts = stored(nodes.join(asked, "node", "left_semi").select("node", "counts").dropDuplicates(["node"]))
+    counts = stored(nodes.join(asked, "node", "left_semi").select("node", "counts"))
 
     def read(maybe: DataFrame) -> DataFrame:
         return _texts(docs, nodes, maybe.select(F.col("x").alias("node")).union(maybe.select(F.col("p").alias("node"))).distinct(), doc_key, text)
