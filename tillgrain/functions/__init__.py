@@ -1 +1 @@
-"""Functions."""
+"""Column and frame functions that several operators share."""

@@ -1 +1 @@
-"""Operators."""
+"""Table builders, analyses and models."""

@@ -1 +1 @@
-"""Streaming."""
+"""Incremental forms of the batch layers."""
