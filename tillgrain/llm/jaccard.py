@@ -33,11 +33,9 @@ don't name a component unless all its keys are null. Other columns pass by.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -53,6 +51,7 @@ LEAST_SEEN = 3
 #: Shingles that a cell joined in one task may have, and its nodes
 LOCAL, LOCAL_NODES = 1 << 21, 1 << 12
 PIVOTS = 16
+ROWS_A_TASK = 2_000
 BUCKETS = 128
 #: Keys of 16 bytes that may be broadcast; more are joined by shuffle
 BROADCAST_ROWS = 1 << 19
@@ -302,17 +301,48 @@ def join_cell(sets: list[np.ndarray], num: int, den: int, same: list[int] | None
     return links
 
 
-def _join_cells(cells: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _whole_cells(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows of a cell in one task, one after another. The caller names the number of tasks: cells are small in bytes and take
+    time, so partitions must not be merged by size."""
+    return rows.repartition(max(1, min(10_000, tasks)), "cell").sortWithinPartitions("cell")
+
+
+def _runs(cells: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]) if len(cells) else np.zeros(1, int)
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _join_cells(cells: DataFrame, n: int, num: int, den: int, tasks: int) -> DataFrame:
     """``cells``: cell, node, near (known to be linked to the cell's pivot), t. Links (x, p)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").sort_values("node")
-        sets = [h[a:b] for _, h, bounds in _sets(pa.array(rows["t"], pa.string()), n) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        links = join_cell(sets, num, den, np.flatnonzero(rows["near"].to_numpy()).tolist())
-        node = rows["node"].to_numpy()
-        return pd.DataFrame({"x": [node[a] for a, _ in links], "p": [node[b] for _, b in links]}, dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, dict[int, tuple[np.ndarray, bool]]] = (None, {})
+
+        def joined(members: dict[int, tuple[np.ndarray, bool]]) -> list[tuple[int, int]]:
+            names = sorted(members)
+            if len(names) < 2:
+                return []
+            links = join_cell([members[i][0] for i in names], num, den, [k for k, i in enumerate(names) if members[i][1]])
+            return [(names[a], names[b]) for a, b in links]
 
-    return cells.groupBy("cell").applyInPandas(run, "x long, p long")
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "p"])
+
+        for batch in batches:
+            cell, node, near = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sets = [h[x:y] for _, h, bounds in _sets(batch.column(3), n) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            links: list[tuple[int, int]] = []
+            for a, b in _runs(cell):
+                if held[0] != cell[a]:
+                    links += joined(held[1])
+                    held = (cell[a], {})
+                held[1].update({int(node[i]): (sets[i].copy(), bool(near[i])) for i in range(a, b)})
+            if links:
+                yield batch_of(links)
+        if links := joined(held[1]):
+            yield batch_of(links)
+
+    return _whole_cells(cells.select("cell", "node", "near", "t"), tasks).mapInArrow(run, "x long, p long")
 
 
 # --- the join ---
@@ -336,17 +366,17 @@ def _judged(pairs: DataFrame, counts: DataFrame, read, n: int, num: int, den: in
     return stored(exact.unionByName(bounds.where(F.col("low") > limit).select("x", "nx", "p", "np", F.col("low").alias("d"), F.lit(False).alias("near"))))
 
 
-def _with_partner(cells: DataFrame, num: int, den: int) -> DataFrame:
+def _with_partner(cells: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     """``cells``: cell, node, near, size, counts. Those that the contraction leaves a possible partner in their cell, of which one
     at least is an outsider."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").sort_values("size", kind="stable")
-        counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-        size, near = rows["size"].to_numpy(), rows["near"].to_numpy()
-        keep = np.zeros(len(rows), bool)
-        for i in range(len(rows)):
-            j = np.arange(i + 1, np.searchsorted(size * num, size[i] * den, "right"))  # sizes within reach
+    def kept(size: np.ndarray, near: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(size), bool)
+        if near.all():
+            return keep
+        until = np.searchsorted(size * num, size * den, "right")  # sizes within reach, in ascending order
+        for i in np.flatnonzero(until > np.arange(len(size)) + 1).tolist():
+            j = np.arange(i + 1, until[i])
             if near[i]:
                 j = j[~near[j]]
             if len(j):
@@ -354,18 +384,45 @@ def _with_partner(cells: DataFrame, num: int, den: int) -> DataFrame:
                 j = j[apart * (den + num) <= (size[j] + size[i]) * (den - num)]
                 keep[j] = True
                 keep[i] |= len(j) > 0
-        return rows.loc[keep, ["cell", "node", "near"]]
+        return keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the rows, so far, of the last cell seen
+
+        def flush() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            size = np.array([r[3] for r in held], np.int64)
+            keep = kept(size, np.array([r[2] for r in held]), np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BUCKETS).astype(np.int16))
+            return [held[i][:3] for i in np.flatnonzero(keep)]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=["cell", "node", "near"])
+
+        for batch in batches:
+            rows, out = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), []
+            for a, b in _runs(batch.column(0).to_numpy()):
+                if held and held[0][0] != rows[a][0]:
+                    out += flush()
+                    held = []
+                held += rows[a:b]
+            if out:
+                yield batch_of(out)
+        if out := flush():
+            yield batch_of(out)
 
-    return cells.groupBy("cell").applyInPandas(run, "cell long, node long, near boolean")
+    dealt = cells.select("cell", "node", "near", "size", "counts").repartition(max(1, min(10_000, tasks)), "cell").sortWithinPartitions("cell", "size")
+    return dealt.mapInArrow(run, "cell long, node long, near boolean")
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, doc_key: str = "doc_id", text: str = "text") -> list[DataFrame]:
     """Links (x, p) between nodes, as stored frames: enough to connect all linked nodes."""
     spark, eps = docs.sparkSession, 1 - num / den
-    order = spark.sparkContext.broadcast(Order(common_shingles(docs, n, nodes.count(), doc_key=doc_key, text=text)))
+    rows = nodes.count()
+    order = spark.sparkContext.broadcast(Order(common_shingles(docs, n, rows, doc_key=doc_key, text=text)))
     # one row for each set, merged before anything is dealt by node: copies of one text may be many
-    nodes = stored(nodes.groupBy("node").agg(F.min("row").alias("row"), F.first("counts").alias("counts")))
-    pairs = stored(_pivoted(_outer_regions(docs, n, num, den, order, text), num, den))
+    nodes = stored(nodes.groupBy("node").agg(F.min("row").alias("row"), F.first("counts").alias("counts")), 10 * rows)
+    pairs = stored(_pivoted(_outer_regions(docs, n, num, den, order, text), num, den), rows)
     asked = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("p").alias("node"))).distinct()
     counts = stored(nodes.join(asked, "node", "left_semi").select("node", "counts"))
 
@@ -380,14 +437,14 @@ def links_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, d
     cells = judged.join(sides.where("out > 0"), "p").where(f"NOT near OR d >= nearest - {eps} - 1e-9").select(F.col("p").alias("cell"), F.col("x").alias("node"), "near", F.col("nx").alias("size"), "d")
     while True:
         cells = stored(cells)
-        weight = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("shingles"), F.count(F.when(~F.col("near"), 1)).alias("out")).where("nodes > 1 AND out > 0"))
+        weight = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("shingles"), F.count(F.when(~F.col("near"), 1)).alias("out")).where("nodes > 1 AND out > 0"), rows)
         small = (F.col("shingles") <= LOCAL) & (F.col("nodes") <= LOCAL_NODES)
-        kinds = weight.agg(F.count(F.when(small, 1)).alias("few"), F.count(F.when(~small, 1)).alias("many")).first()
+        kinds = weight.agg(F.count(F.when(small, 1)).alias("few"), F.count(F.when(~small, 1)).alias("many"), F.coalesce(F.sum(F.when(small, F.col("nodes"))), F.lit(0)).alias("rows")).first()
         if kinds.few:
             mine = cells.join(weight.where(small).select("cell"), "cell").select("cell", "node", "near", "size").join(counts, "node")
-            mine = stored(_with_partner(mine, num, den))
+            mine = stored(_with_partner(mine, num, den, kinds.rows // ROWS_A_TASK))
             texts = _texts(docs, nodes, mine.select("node").distinct(), doc_key, text)
-            links.append(stored(_join_cells(mine.join(texts, "node"), n, num, den)))
+            links.append(stored(_join_cells(mine.join(texts, "node"), n, num, den, mine.count() // ROWS_A_TASK)))
         if not kinds.many:
             return links
         cells = cells.join(weight.where(~small).select("cell"), "cell")
@@ -406,13 +463,14 @@ def components(links: list[DataFrame]) -> DataFrame:
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
-    edges = stored(edges.unionByName(edges.select(F.col("p").alias("x"), F.col("x").alias("p"))).distinct())
-    labels = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("p"), F.col("x")).alias("label")))
+    rows = edges.count()
+    edges = stored(edges.unionByName(edges.select(F.col("p").alias("x"), F.col("x").alias("p"))).distinct(), rows)
+    labels = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("p"), F.col("x")).alias("label")), rows)
     while True:
         told = edges.join(labels.withColumnRenamed("node", "p"), "p").select(F.col("x").alias("node"), "label")
         best = labels.withColumnRenamed("label", "old").join(told.groupBy("node").agg(F.min("label").alias("told")), "node").withColumn("best", F.least("old", "told"))
         hop = labels.select(F.col("node").alias("best"), F.col("label").alias("further"))
-        new = stored(best.join(hop, "best", "left").select("node", "old", F.least("best", F.coalesce("further", "best")).alias("label")))
+        new = stored(best.join(hop, "best", "left").select("node", "old", F.least("best", F.coalesce("further", "best")).alias("label")), rows)
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

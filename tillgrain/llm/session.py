@@ -32,10 +32,17 @@ def _local_root() -> str:
     return _ROOT[0]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there, and any executor can be lost after."""
+#: Rows of a few numbers that make a file worth having.
+ROWS_A_FILE = 50_000
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: its lineage ends there, and any executor can be lost after.
+
+    ``rows``: about how many narrow rows it has, if known; small frames then become few files.
+    """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
