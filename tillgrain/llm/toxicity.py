@@ -17,6 +17,7 @@ kinds every score is the share of positives. Repeated rows give a row each; othe
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,18 +73,20 @@ class Net:
 
     def logits(self, ids: np.ndarray, first: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         """ids: embedding rows of the words of a slice; first: where each text's words begin, and the end."""
-        n = len(first) - 1
-        # two zero rows after each text, so that no filter reaches into the next
-        gap = len(WIDTHS) - 1
-        padded = np.zeros(len(ids) + gap * n, np.int32)
-        padded[np.arange(len(ids)) + gap * np.repeat(np.arange(n), np.diff(first))] = ids
-        heads = first[:-1] + gap * np.arange(n)
+        size, n, gap = np.diff(first), len(first) - 1, len(WIDTHS) - 1
+        # zero rows after each text, so that no filter reaches into the next; an empty text is one zero row
+        own = np.maximum(size, 1)
+        ends = np.cumsum(own + gap)
+        heads = ends - own - gap
+        padded = np.zeros(int(ends[-1]) if n else 0, np.int32)
+        padded[np.arange(len(ids)) + np.repeat(heads - first[:-1], size)] = ids
+        places = np.stack([heads, heads + own], 1).ravel()
         total = np.full(n, float(self.bias[0]))
         for i, (w, table) in enumerate(zip(WIDTHS, tables, strict=True)):
             response = table[0][padded]
             for k in range(1, w):
                 response[:-k] += table[k][padded[k:]]
-            pooled = np.maximum.reduceat(response, heads, axis=0) if n else response
+            pooled = np.maximum.reduceat(response, places, axis=0)[::2]
             total += np.maximum(pooled + self.offset[w], 0) @ self.out[i * FILTERS : (i + 1) * FILTERS]
         return total
 
@@ -92,9 +95,12 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed: i
     """texts: bucket numbers of each text's words."""
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
-    own = [np.unique(t) for t in texts]
-    buckets, docs = np.unique(np.concatenate([u for u, h in zip(own, held, strict=True) if not h] or [np.zeros(0, np.int64)]), return_counts=True)
-    net = Net(buckets[docs >= max(LEAST_DOCS, len(y) // 2_000)], seed)
+    docs = np.zeros(BUCKETS, np.int32)
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            docs[np.unique(t)] += 1
+    net = Net(np.flatnonzero(docs >= max(LEAST_DOCS, len(y) // 2_000)), seed)
+    del docs
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     if len(y) < 20 or y.min() == y.max():
         net.out[:] = 0
@@ -104,9 +110,10 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed: i
     ids = [lookup[t] for t in texts]
     # the first axis of the embeddings starts at each word's smoothed log-odds of standing in a toxic text
     seen = np.zeros((2, len(net.known) + 1))
-    for u, label, h in zip(own, y, held, strict=True):
+    for rows, label, h in zip(ids, y, held, strict=True):
         if not h:
-            seen[int(label), lookup[u]] += 1
+            seen[int(label), np.unique(rows)] += 1
+    seen[:, 0] = 0
     odds = np.log((seen[1] + 8 * share) / (seen[0] + 8 * (1 - share))) - np.log(share / (1 - share))
     net.embed[1:, 0] = 0.5 * odds[1:]
     net.filters[1][0, :, 0] = np.eye(DIM)[0]
@@ -198,13 +205,14 @@ def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, ma
                     yield pa.RecordBatch.from_arrays([pa.array([ids[first[i] : first[i + 1]].astype(np.int32).tolist() for i in few], pa.list_(pa.int32())), batch.column(1).take(pick), batch.column(2).take(pick)], names=["w", "l", "label"])
 
     found = sample.select("text.t", "text.l", "label").mapInArrow(numbers, "w array<int>, l string, label int").toArrow()
+    # equal texts count once, with their smallest label; the order of rows depends on their content alone
     seen: dict[bytes, tuple] = {}
     for w, l, y in zip(found.column("w"), found.column("l").to_pylist(), found.column("label").to_pylist(), strict=True):
-        ids = w.values.to_numpy().astype(np.int64)
-        key = ids.tobytes()
-        seen[key] = min(seen.get(key, (y, l or "", ids)), (y, l or "", ids), key=lambda x: x[:2])
-    # the order of rows depends on their content alone
-    rows = [seen[k] for k in sorted(seen, key=lambda k: (len(k) * 2654435761 % 1000003, k))]
+        ids = w.values.to_numpy()
+        key = hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
+        if key not in seen or (y, l or "") < seen[key][:2]:
+            seen[key] = y, l or "", ids
+    rows = [seen[k] for k in sorted(seen)]
     return fit([r[2] for r in rows], np.array([r[0] for r in rows], float), [r[1] for r in rows])
 
 
