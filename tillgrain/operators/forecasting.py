@@ -159,7 +159,7 @@ def accuracy(forecasts: DataFrame, models: dict[str, tuple[str, str]] | None = N
     )
     known = long.where("units IS NOT NULL AND one IS NOT NULL")
     each = known.groupBy("model", "stock_code").agg((F.sum(F.abs(F.col("one") - F.col("units"))) / F.greatest(F.sum("units"), F.lit(1.0))).alias("w"))
-    return total.join(each.groupBy("model").agg(F.median("w").alias("median_product_wape")), "model").select("model", "wape", "bias", "median_product_wape", "wape_next", "bias_next")
+    return total.join(each.groupBy("model").agg(F.median("w").alias("median_product_wape")), "model", "left").select("model", "wape", "bias", "median_product_wape", "wape_next", "bias_next")
 
 
 def coverage(mart_product: DataFrame, panel: DataFrame) -> DataFrame:

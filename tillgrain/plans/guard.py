@@ -32,7 +32,7 @@ NODES = frozenset(
 )
 #: Functions that compute on their arguments alone. Among what is left out are those that reach the JVM, files or the session.
 FUNCTIONS = frozenset(
-    "abs acos add_months any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_size asin atan avg bit_and bit_or bool_and bool_or bround cardinality "
+    "abs acos add_months between any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_size asin atan avg bit_and bit_or bool_and bool_or bround cardinality "
     "cast cbrt ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if covar_pop covar_samp cume_dist current_date date date_add date_diff date_format date_part date_sub "
     "date_trunc datediff datepart day dayofmonth dayofweek dayofyear decode degrees dense_rank div element_at endswith every exp explode extract first first_value flatten floor from_unixtime greatest hour if ifnull ilike initcap "
     "instr isnan isnotnull isnull kurtosis lag last last_day last_value lcase lead least left len length like ln locate log log10 log1p log2 lower lpad ltrim make_date max max_by md5 mean median min min_by minute mod mode month "
@@ -75,20 +75,18 @@ class _Walk:
                 self.plan(relation._2(), names)  # a named subquery sees those before it
                 names = names | {relation._1().lower()}
         for expression in _items(node.expressions()):
-            self.expression(expression, names)
-        for child in _items(node.children()):
+            self.expression(expression)
+        for child in [*_items(node.subqueries()), *_items(node.children())]:
             self.plan(child, names)
 
-    def expression(self, node, names: frozenset[str]) -> None:
+    def expression(self, node) -> None:
         kind = _kind(node)
         if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
             parts = list(_items(node.nameParts())) if kind == "UnresolvedFunction" else [node.name().unquotedString()]
             if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
                 raise UnsafeQuery(f"function '{'.'.join(parts)}' is not allowed")
-        if hasattr(node, "plan") and "Subquery" in kind or kind in ("Exists", "ListQuery", "ScalarSubquery", "LateralSubquery"):
-            self.plan(node.plan(), names)
         for child in _items(node.children()):
-            self.expression(child, names)
+            self.expression(child)
 
 
 def guard(spark: SparkSession, sql: str, tables: frozenset[str] = TABLES) -> str:
