@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once. Temporary arrays take some 40 bytes for each; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C13 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows reach Python in Arrow batches of so many bytes at most (or one row). Spark's own default of 64 MB would take a few
+#: hundred MB for each running task, on both sides, where texts are long.
+BATCH_KEY, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "1m", ("67108864b", "64MB", None)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY, None) in BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder, as a URI, in the folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -41,10 +52,12 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     ``rows``: about how many narrow rows it has, if known; small frames then become few files.
     """
+    bound_batches(df.sparkSession)
     path = shared_folder(df.sparkSession)
     (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
