@@ -32,3 +32,15 @@ def test_streamed_bronze_loads_each_file_once(spark, folder, tmp_path):
     weekly = bronze.weekly_units(spark.read.schema(invoices.RAW).parquet(arrive))
     assert weekly.where(F.weekday("week_start") != 0).count() == 0
     assert weekly.agg(F.sum("units")).first()[0] == raw.agg(F.sum("quantity")).first()[0]
+
+
+def test_whole_run(spark, folder, tmp_path):
+    import json
+    from datetime import date
+
+    from tillgrain.plans import report
+
+    out = report.run(spark, warehouse(spark, folder), str(tmp_path), overlap=("1998-05-01", "1998-05-09"), min_weeks=36, test_weeks=4, iterations=2, test_from=date(2001, 1, 1), end=date(2001, 8, 2))
+    assert set(json.loads((tmp_path / "data.json").read_text())) == set(out)
+    assert out["profile"]["tables"]["fact_sales"] == out["profile"]["fact_rows"]
+    assert spark.read.parquet(str(tmp_path / "models" / "ml_forecast")).count() > 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillgrain.functions.columns import money
 from tillgrain.operators import analytics, customers, forecasting, inventory, lakehouse, quality, recommender
 from tillgrain.oracle import over
-from tillgrain.plans import service
+from tillgrain.plans import report, service
 from tillgrain.plans.questions import QUESTIONS
 from tillgrain.session import stored
 from tillgrain.warehouse import Warehouse
@@ -56,15 +56,13 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _modelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Backtest of the twenty best sellers of the panel, for tables that need a model."""
+    """Backtest of the last eight weeks over all products of the panel, from models of a few trees."""
     key = spark.sparkContext.applicationId, folder, "backtest"
     if key not in _MORE:
         # the adapter's returns go on for months after the last sale; forecasts are tested on weeks that had sales
         until = warehouse(spark, folder).mart_product_weekly.agg(F.max("week_start").alias("last"))
-        grid = panel(spark, folder).crossJoin(F.broadcast(until)).where("week_start < last").drop("last")
-        best = grid.groupBy("stock_code").agg(F.sum("units").alias("n")).orderBy(F.desc("n"), "stock_code").limit(20).select("stock_code")
-        few = stored(forecasting.add_features(stored(grid.join(F.broadcast(best), "stock_code"))))
-        _MORE[key] = stored(forecasting.backtest(few, test_weeks=8, refit_every=4, iterations=3))
+        grid = stored(panel(spark, folder).crossJoin(F.broadcast(until)).where("week_start < last").drop("last"))
+        _MORE[key] = stored(forecasting.backtest(stored(forecasting.add_features(grid)), test_weeks=8, refit_every=4, iterations=5))
     return _MORE[key]
 
 
@@ -371,6 +369,12 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         f"SELECT neighbour AS stock_code, p.description, CAST(sum(CAST(similarity AS DECIMAL(12, 4))) AS DOUBLE) AS score FROM neighbours n JOIN dim_product p ON p.stock_code = n.neighbour WHERE n.stock_code IN ({_BASKET}) AND neighbour NOT IN ({_BASKET}) GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10",
     ),
     "ml_forecast": (ml_forecast, None),
+    "forecast_examples": (lambda spark, folder: report.forecast_examples(warehouse(spark, folder).mart_product, _modelled(spark, folder), panel(spark, folder)), None),
+    "recommendation_examples": (
+        lambda spark, folder: report.recommendation_examples(warehouse(spark, folder).mart_product, _neighbours(spark, folder), warehouse(spark, folder).dim_product),
+        """WITH s AS (SELECT stock_code, description, orders FROM mart_product WHERE stock_code IN (SELECT stock_code FROM neighbours) ORDER BY orders DESC, stock_code LIMIT 150)
+        SELECT s.stock_code, s.description, s.orders, n.rank, n.neighbour, p.description AS neighbour_description, n.similarity, n.orders_together FROM s JOIN neighbours n USING (stock_code) JOIN dim_product p ON p.stock_code = n.neighbour WHERE n.rank <= 6""",
+    ),
 }
 for _i, (_kind, _, _sql) in enumerate(QUESTIONS, 1):
     REGISTRY[f"q_{_kind}_{_i:02d}"] = _question(_sql), None if "ml_" in _sql else _sql
