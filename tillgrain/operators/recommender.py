@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillgrain.functions.columns import ratio
+from tillgrain.session import stored
 
 MIN_ITEM_ORDERS = 20
 MAX_BASKET = 100
@@ -61,10 +62,12 @@ def held_out(test: DataFrame, items: DataFrame) -> DataFrame:
 
 def ranks(pairs: DataFrame, items: DataFrame, dealt: DataFrame) -> DataFrame:
     """For each basket, how many items outrank the hidden one: by similarity to the rest of the basket, and by popularity."""
+    dealt = stored(dealt)
     shown = dealt.where("NOT hidden").select("invoice", "stock_code")
     hidden = dealt.where("hidden").select("invoice", F.col("stock_code").alias("hidden_code"))
     scores = shown.join(pairs, "stock_code").groupBy("invoice", "neighbour").agg(F.round(F.sum("similarity"), 9).alias("score"))
-    open_ = scores.join(shown.withColumnRenamed("stock_code", "neighbour"), ["invoice", "neighbour"], "left_anti")
+    # read twice below: written once, as it holds a row for each basket and candidate
+    open_ = stored(scores.join(shown.withColumnRenamed("stock_code", "neighbour"), ["invoice", "neighbour"], "left_anti"))
     own = hidden.join(open_, (open_.invoice == hidden.invoice) & (open_.neighbour == hidden.hidden_code), "left").select(hidden.invoice, "hidden_code", F.coalesce("score", F.lit(0.0)).alias("own"))
     above = own.join(open_.select("invoice", "score"), "invoice", "left").groupBy("invoice", "hidden_code").agg(F.count(F.when(F.col("score") > F.col("own"), 1)).alias("by_similarity"))
     # popularity is one list for all: items above the hidden one, less those that the basket shows
@@ -76,17 +79,19 @@ def ranks(pairs: DataFrame, items: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def hit_rates(ranked: DataFrame, ks: tuple[int, ...] = TOP_K) -> DataFrame:
-    def of(c: str) -> list[Column]:
+    """By model, from one pass over the ranks."""
+    def of(c: str) -> Column:
         n = F.count(F.lit(1))
         hits = [ratio(F.count(F.when(F.col(c) < k, 1)), n).alias(f"hit_rate_at_{k}") for k in ks]
-        return [n.alias("test_baskets"), *hits, F.avg(1 / (F.col(c) + 1)).alias("mean_reciprocal_rank")]
+        return F.struct(n.alias("test_baskets"), *hits, F.avg(1 / (F.col(c) + 1)).alias("mean_reciprocal_rank"))
 
-    model = ranked.agg(*of("by_similarity")).withColumn("model", F.lit("item similarity"))
-    return model.unionByName(ranked.agg(*of("by_popularity")).withColumn("model", F.lit("best sellers")))
+    both = ranked.agg(of("by_similarity").alias("a"), of("by_popularity").alias("b"))
+    rows = F.array(F.struct(F.col("a").alias("v"), F.lit("item similarity").alias("model")), F.struct(F.col("b").alias("v"), F.lit("best sellers").alias("model")))
+    return both.select(F.explode(rows).alias("r")).select("r.v.*", "r.model")
 
 
 def evaluate(mart_basket: DataFrame, test_from: date, min_orders: int = MIN_ITEM_ORDERS) -> DataFrame:
     frame = baskets(mart_basket)
     train, test = frame.where(F.col("invoice_date") < F.lit(test_from)), frame.where(F.col("invoice_date") >= F.lit(test_from))
-    items = item_counts(train, min_orders)
+    items = stored(item_counts(train, min_orders))
     return hit_rates(ranks(similarity(train, min_orders), items, held_out(test, items)))

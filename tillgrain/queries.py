@@ -184,7 +184,7 @@ SELECT invoice, by_similarity, by_popularity FROM r1 JOIN r2 USING (invoice)"""
 def _held_ranks(spark: SparkSession, folder: str) -> DataFrame:
     frame = recommender.baskets(warehouse(spark, folder).mart_basket)
     train, test = frame.where(F.col("invoice_date") < F.lit(TEST_FROM)), frame.where(F.col("invoice_date") >= F.lit(TEST_FROM))
-    items = recommender.item_counts(train)
+    items = stored(recommender.item_counts(train))
     return recommender.ranks(recommender.similarity(train), items, recommender.held_out(test, items))
 
 
