@@ -46,3 +46,19 @@ def test_by_brute_force(spark, frame, odd, rng):
     assert got == brute(rows)
     assert sum(r[2] for r in got) > 40
     assert loglines.dedup(frame([])).count() == 0
+
+
+def family(rng, words, n):
+    """Lines of 18 tokens that start alike and have a field without digits."""
+    return [" ".join(["We", "ask", "that", *words[:7], "".join(rng.choices("abcdefgh", k=6)), *words[7:]]) for _ in range(n)]
+
+
+def test_families_of_one_leaf_each_get_a_template(spark, frame, rng):
+    for sizes in ((60, 40), (50, 50), (20, 20, 20, 4)):
+        lines = [x for f, n in enumerate(sizes) for x in family(rng, [f"{chr(65 + f)}{chr(97 + i)}" for i in range(14)], n)]
+        alone = ["We ask that " + " ".join("".join(rng.choices("xyz", k=9)) for _ in range(15)) for _ in range(5)]
+        rows = [(i, x + "\n" + "".join(rng.choices("uvw", k=30))) for i, x in enumerate(rng.sample(lines + alone, len(lines + alone)))]
+        got = {r.doc_id: r.text for r in loglines.dedup(frame(rows)).collect()}
+        for i, text in rows:
+            line, other = text.split("\n")
+            assert got[i] == (text if line in alone else other)

@@ -4,8 +4,13 @@ A line's path in the tree is its number of tokens, then its first ``DEPTH`` toke
 digit are variable fields (``<*>``). A leaf gathers the lines with one path. Its template has, at each place,
 the token (again with digits generalised) that more than half of the leaf's lines have there; other
 places are variable. A line belongs to its leaf's template if the template has the line's tokens in
-``SIMILAR`` of its places, else its own generalised line is its template. Templates that ``MIN_DOCS``
-different documents have are recurring, and their lines are dropped.
+``SIMILAR`` of its places. The lines that a template leaves get one of their own in the same way. Where no line
+belongs to the template, families of the same size hide each other: the lines are dealt out by the tokens of one
+place (those that recur each to a node, the others to one node), and each node gets a template. So it goes on until
+no node with unassigned lines of ``MIN_DOCS`` or more can be split; a line that no template has is a
+template of its own. Templates that ``MIN_DOCS`` different documents have are recurring, and their lines are dropped.
+
+A place deals out the lines of a path once at most, as after that it is constant or without a token that recurs; so rounds end.
 
 Only leaves that enough documents reach can hold a recurring template, so the counts of paths come first
 (two hashes a line) and all further steps see only lines of such leaves, each distinct generalised line
@@ -52,6 +57,53 @@ def _with_leaf(lines: DataFrame) -> DataFrame:
     return parts.withColumn("leaf", F.xxhash64(F.size("tokens"), lead))
 
 
+def _counts(kinds: DataFrame) -> DataFrame:
+    """(node, place, token, n): lines by node and token (hashed) of a place."""
+    places = kinds.select("node", "n", F.posexplode(F.split("general", " ")).alias("place", "token"))
+    return places.groupBy("node", "place", F.xxhash64("token").alias("token")).agg(F.sum("n").alias("n"))
+
+
+def _fits(kinds: DataFrame, similar: float) -> DataFrame:
+    """``kinds`` with fits: whether the template of the node has enough of the line's tokens."""
+    # more than half: at most one token a place, so no ties
+    totals = kinds.groupBy("node").agg(F.sum("n").alias("total"))
+    fixed = _counts(kinds).join(totals, "node").where("2 * n > total")
+    template = fixed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("template"))
+    hashes = F.transform(F.split("general", " "), lambda t: F.xxhash64(t))
+    hits = F.size(F.filter(F.transform(hashes, lambda h, i: F.element_at(F.col("template"), i) == h), lambda x: x))
+    fits = F.col("template").isNotNull() & (hits >= similar * F.size(hashes))
+    return kinds.join(template, "node", "left").select(*kinds.columns, fits.alias("fits"))
+
+
+def _split(kinds: DataFrame, min_docs: int) -> DataFrame:
+    """``kinds`` of nodes whose template fits no line, dealt to smaller nodes by the tokens of one place; without nodes that have no such place."""
+    counts = _counts(kinds)
+    often = F.col("n") >= min_docs
+    places = counts.groupBy("node", "place").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("cover"), F.count(F.when(often, 1)).alias("tokens")).where("top < total AND cover > 0")
+    # tokens that recur tell families apart best where they cover most lines, and the fewer the better: fields have many
+    best = places.groupBy("node").agg(F.max(F.struct("cover", -F.col("tokens"), -F.col("place"), "place")).getField("place").alias("place"))
+    recur = counts.where(often).select("node", "place", "token", F.lit(True).alias("recurs"))
+    at = kinds.join(best, "node").withColumn("token", F.xxhash64(F.get(F.split("general", " "), F.col("place"))))
+    label = F.when(F.col("recurs"), F.col("token"))
+    return at.join(recur, ["node", "place", "token"], "left").withColumn("node", F.xxhash64("node", "place", label, F.col("recurs").isNull())).select(*kinds.columns)
+
+
+def _named(kinds: DataFrame, min_docs: int, similar: float) -> DataFrame:
+    """(leaf, line, name) of the distinct generalised lines that a template has, each leaf with as many templates as it takes."""
+    todo, found = kinds.withColumn("node", F.col("leaf")), None
+    while True:
+        tried = stored(_fits(todo, similar))
+        part = tried.where("fits").select("leaf", F.xxhash64("general").alias("line"), F.xxhash64("node").alias("name"))
+        found = part if found is None else found.unionByName(part)
+        rest = stored(tried.groupBy("node").agg(F.coalesce(F.sum(F.when(~F.col("fits"), F.col("n"))), F.lit(0)).alias("rest"), F.max("fits").alias("some")).where(F.col("rest") >= min_docs).select("node", "some"))
+        if rest.isEmpty():
+            return found
+        left = tried.where("NOT fits").drop("fits").join(rest, "node")
+        # what a template leaves gets one of its own; a node without lines like its template is split
+        peeled = left.where("some").withColumn("node", F.xxhash64("node", F.lit("rest"))).select(*todo.columns)
+        todo = stored(peeled.unionByName(_split(left.where("NOT some").select(*todo.columns), min_docs)))
+
+
 def recurring_lines(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """(row, dropped): for each document with lines of recurring templates, their places (from 0)."""
     paths = _lines(docs, doc_key, text).select("leaf", "row")
@@ -62,16 +114,10 @@ def recurring_lines(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "te
     found = stored(lines.join(busy.hint("merge"), "leaf", "left_semi").select("row", "at", "leaf", general.alias("general")))
 
     kinds = stored(found.groupBy("leaf", "general").agg(F.count(F.lit(1)).alias("n")))
-    counted = kinds.select("leaf", "n", F.posexplode(F.split("general", " ")).alias("place", "token")).groupBy("leaf", "place", F.xxhash64("token").alias("token")).agg(F.sum("n").alias("n"))
-    # more than half: at most one token a place, so no ties
-    totals = kinds.groupBy("leaf").agg(F.sum("n").alias("total"))
-    fixed = counted.join(totals, "leaf").where("2 * n > total")
-    template = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("template"))
-    hashes = F.transform(F.split("general", " "), lambda t: F.xxhash64(t))
-    matched = kinds.join(template, "leaf", "left").withColumn("hits", F.size(F.filter(F.transform(hashes, lambda h, i: F.element_at(F.col("template"), i) == h), lambda x: x)))
-    own = F.when(F.col("template").isNotNull() & (F.col("hits") >= similar * F.size(F.split("general", " "))), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "general"))
-    named = matched.select("leaf", F.xxhash64("general").alias("line"), own.alias("name"))
-    placed = stored(found.select("row", "at", "leaf", F.xxhash64("general").alias("line")).join(named, ["leaf", "line"]).select("row", "at", "name"))
+    named = _named(kinds, min_docs, similar)
+    line = F.xxhash64("general")
+    own = F.coalesce("name", F.xxhash64("leaf", "line")).alias("name")
+    placed = stored(found.select("row", "at", "leaf", line.alias("line")).join(named, ["leaf", "line"], "left").select("row", "at", own))
     # stored, so that the join below deals both sides anew and can split a template that very many documents have
     again = stored(placed.select("name", "row").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("name"))
     return placed.join(again, "name").groupBy("row").agg(F.collect_set("at").alias("dropped"))
