@@ -143,3 +143,23 @@ def test_backtest_covers_each_test_week_once(spark):
     table = {r.model: r for r in forecasting.accuracy(out).collect()}
     assert set(table) == set(forecasting.MODELS)
     assert forecasting.weekly_totals(out).count() == 4
+
+
+def test_registered_forecast_is_the_whole_backtest(spark, folder, monkeypatch):
+    from tillgrain import queries
+
+    asked = {}
+
+    def cheap(features, test_weeks=forecasting.TEST_WEEKS, refit_every=forecasting.REFIT_EVERY, iterations=forecasting.ITERATIONS):
+        asked.update(test_weeks=test_weeks, iterations=iterations)
+        weeks = [r.week_start for r in features.select("week_start").distinct().orderBy("week_start").collect()][-test_weeks:]
+        out = forecasting.baselines(features.where(F.col("week_start").isin(weeks)))
+        return out.withColumns({"gbm": F.col("mean4"), "gbm_next": F.col("average4_next")})
+
+    monkeypatch.setattr(forecasting, "backtest", cheap)
+    monkeypatch.setattr(queries, "_MORE", {})
+    assert queries.QUERIES["ml_forecast"](spark, folder).select("week_start").distinct().count() == 26
+    assert asked["iterations"] >= 10
+    policies = {r.policy for r in queries.QUERIES["inventory_frontier"](spark, folder).select("policy").distinct().collect()}
+    assert policies == {"Gradient boosting forecast", "Average of last 4 weeks", "Last week"}
+    assert {r.policy for r in queries.QUERIES["stock_for_fill_rate"](spark, folder).collect()} == policies

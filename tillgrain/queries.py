@@ -56,13 +56,13 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _modelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Backtest of the last eight weeks over all products of the panel, from models of a few trees."""
+    """Backtest of the operator's test weeks over all products of the panel."""
     key = spark.sparkContext.applicationId, folder, "backtest"
     if key not in _MORE:
         # the adapter's returns go on for months after the last sale; forecasts are tested on weeks that had sales
         until = warehouse(spark, folder).mart_product_weekly.agg(F.max("week_start").alias("last"))
         grid = stored(panel(spark, folder).crossJoin(F.broadcast(until)).where("week_start < last").drop("last"))
-        _MORE[key] = stored(forecasting.backtest(stored(forecasting.add_features(grid)), test_weeks=8, refit_every=4, iterations=5))
+        _MORE[key] = stored(forecasting.backtest(stored(forecasting.add_features(grid))))
     return _MORE[key]
 
 
@@ -143,12 +143,9 @@ SELECT model, above / (2 * p * (n - p)) AS roc_auc, top AS top_decile_rate, top
 
 
 def _frontier(spark: SparkSession, folder: str) -> DataFrame:
-    """The mean-of-4-weeks policy over the last 26 weeks of the panel."""
-    w, grid = warehouse(spark, folder), panel(spark, folder)
-    base = forecasting.baselines(forecasting.product_features(grid))
-    last = grid.agg(F.date_sub(F.max("week_start"), 7 * 25).alias("v")).first()["v"]
-    test = base.where((F.col("week_start") >= F.lit(last)) & F.col("average4_next").isNotNull())
-    return inventory.run(test, grid, w.mart_product, {"Average of last 4 weeks": "average4_next", "Last week": "last_week_next"})
+    """The policies over the backtest's test weeks."""
+    w = warehouse(spark, folder)
+    return inventory.run(_modelled(spark, folder), panel(spark, folder), w.mart_product, inventory.POLICIES | {"Last week": "last_week_next"})
 
 
 def _baseline_accuracy(spark: SparkSession, folder: str) -> DataFrame:
