@@ -58,3 +58,24 @@ def test_a_match_implies_the_query(text):
     for regex in ("ab?c", "(abc|cab)+a", "a[bc]ca", "abc{2}", "(ab){1,2}c", "c(abc)*ab", "[ab]{3}c"):
         if re.search(regex, text):
             assert trigrams.check(regex, text)
+
+
+def test_a_long_literal_and_many_rules(spark, frame):
+    literal = "".join(chr(97 + i * 7 % 26) + chr(97 + i * i % 26) for i in range(40))
+    rules = (secrets.Rule("long", literal + "[0-9]+"), *(secrets.Rule(f"r{i}", f"key{i:03d}-[a-z]+") for i in range(300)))
+    rows = [(1, f"é {literal}123 {literal}"), (2, "key007-abc key299-z key300-z"), (3, literal[:-1]), (4, None)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(frame(rows), rules).collect()}
+    assert got == {i: brute(t, rules) for i, t in rows} and [len(got[i]) for i in (1, 2, 3, 4)] == [1, 2, 0, 0]
+
+
+def test_many_matches_in_one_text(spark, frame):
+    rows = [(1, "0123456789abcdef " * 100_000), (2, "token=abcdefghijkl0 x " * 30_000)]
+    for r in secrets.scan(frame(rows)).collect():
+        n, step, width = (100_000, 17, 16) if r.doc_id == 1 else (30_000, 22, 19)
+        assert [s[0] for s in r.spans] == [i * step for i in range(n)] and {s[2] - s[0] for s in r.spans} == {width}
+
+
+@given(st.lists(st.text(st.sampled_from("abcdefgh"), min_size=3, max_size=3), min_size=1, max_size=30), st.text(st.sampled_from("abcdefghi"), max_size=40))
+def test_trie_finds_what_it_is_made_of(grams, text):
+    pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", secrets.trie(grams))
+    assert set(re.findall(f"(?=({pattern}))", text)) == {g for g in grams if g in text}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows reach Python in Arrow batches of so many bytes at most (or one row). Spark's own default of 64 MB would take a few
@@ -47,15 +51,51 @@ def _local_root() -> str:
 ROWS_A_FILE = 50_000
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and any executor can be lost after.
 
-    ``rows``: about how many narrow rows it has, if known; small frames then become few files.
+    ``rows``: about how many narrow rows it has, if known; small frames then become few files. The folder goes when the
+    driver's JVM ends, or with ``released``.
     """
-    bound_batches(df.sparkSession)
-    path = shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = shared_folder(spark)
     (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these frames. Only for frames from which nothing is still to be computed."""
+    for frame in frames:
+        if path := getattr(frame, "_stored_at", None):
+            files, at = _hadoop(frame.sparkSession, path)
+            files.delete(at, True)
+
+
+def row_id(*columns: str | Column) -> Column:
+    """128 bits that tell rows apart by these columns, nulls included: two 64-bit hashes over values and null flags."""
+    cells = [F.col(c) if isinstance(c, str) else c for c in columns]
+    flags = [c.isNull() for c in cells]
+    return F.struct(F.xxhash64(F.lit(1), *flags, *cells).alias("a"), F.xxhash64(F.lit(2), *flags, *cells).alias("b"))
+
+
+def sent(spark: SparkSession, value: Any) -> Broadcast[bytes]:
+    """Broadcast a value with its class, so that executors need no copy of this package; ``received`` opens it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast[bytes]) -> Any:
+    return pickle.loads(broadcast.value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
