@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillgrain.llm import kernel
+from tillgrain.llm.session import received, sent
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -120,7 +121,7 @@ def _blocks(docs: DataFrame, items: DataFrame, item_key: str, text: str, n: int,
         chosen = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == block)
         index = ItemIndex([tuple(r) for r in chosen.collect()], n, containment)
         if index.keys:
-            yield docs.sparkSession.sparkContext.broadcast(index)
+            yield sent(docs.sparkSession, index)
 
 
 def contaminated(
@@ -134,10 +135,10 @@ def contaminated(
     arrow = pa.schema([pa.field(f.name, a.type) for f, a in zip(schema.fields, arrow, strict=True)])
     narrow = docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t"))
     out = None
-    for sent in blocks:
+    for block in blocks:
 
-        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+        def probe(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = received(block)
             for batch in batches:
                 found = list(index.matches(batch.column(1)))
                 if found:
@@ -163,16 +164,17 @@ def decontaminate(
 ) -> DataFrame:
     """The documents that hold no test item, all columns as they came; nothing is shuffled."""
     at = docs.columns.index(text)
-    for sent in _blocks(docs, items, item_key, text, n, containment, max_block_shingles):
-        docs = docs.mapInArrow(_without(sent, at), docs.schema)
+    for block in _blocks(docs, items, item_key, text, n, containment, max_block_shingles):
+        docs = docs.mapInArrow(_without(block, at), docs.schema)
     return docs
 
 
-def _without(sent, at: int):
+def _without(block, at: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = received(block)
         for batch in batches:
             fine = np.ones(batch.num_rows, bool)
-            fine[[row for row, _, _ in sent.value.matches(batch.column(at))]] = False
+            fine[[row for row, _, _ in index.matches(batch.column(at))]] = False
             yield batch.filter(pa.array(fine))
 
     return keep

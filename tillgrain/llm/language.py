@@ -7,8 +7,9 @@ largest smallest distance out of many draws. Decoding sums each bit's logistic l
 codeword, weighted by how reliable that bit was on rows held back from its training, and takes the
 codeword with the least loss; the two smallest losses give the score and flag ambiguous texts.
 
-Fitting uses a bounded sample: at most ``max_train`` texts, spread evenly over languages by a hash of the
-key. From each only the counts of its hashed n-grams reach the driver. Prediction reads the text alone.
+Fitting uses a bounded sample: at most ``max_train`` texts (one for each language, if there are more
+languages than that), spread evenly over languages by a hash of key and text; repeated rows count once.
+From each only the counts of its hashed n-grams reach the driver. Prediction reads the text alone.
 
 Special cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0. With one
 known language every other text gets it; with none, every text is ``und``. Repeated rows give a row each;
@@ -23,10 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillgrain.llm import kernel
+from tillgrain.llm.session import received, sent
 
 MAX_TRAIN = 3_000
 BUCKETS = 1 << 13
@@ -162,24 +165,27 @@ def train(docs: DataFrame, *, where: Column | None = None, max_train: int = MAX_
     """Fit on documents with a known language, of those that ``where`` admits."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = (known if where is None else known.where(where)).select(F.col(doc_key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_train).collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model([])
-    quota = max(4, max_train // len(sizes))
-    lot = F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 30))
-    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, quota / n) * (1 << 30)))])
-    sample = known.where(lot < rate[F.col("lang")]).limit(2 * quota * len(sizes))
+    quota = max(1, max_train // len(sizes))
+    # twice a language's quota by the size of a hash, then exactly the smallest of these; equal rows have one lot
+    spark = docs.sparkSession
+    rates = spark.createDataFrame([(name, int(min(1.0, 2 * quota / n) * (1 << 30))) for name, n in sizes.items()], "lang string, rate long")
+    lot = F.xxhash64("k", "t", F.lit(3))
+    picked = known.withColumn("lot", lot).join(F.broadcast(rates), "lang").where(F.pmod(F.shiftrightunsigned("lot", 20), F.lit(1 << 30)) < F.col("rate")).select("lang", "lot", "t")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernel.slices(batch.column(1)):
+            for part in kernel.slices(batch.column(2)):
                 counts = gram_counts(part)
                 where = [np.flatnonzero(row) for row in counts]
-                names = batch.column(2).slice(part.first, len(part))
-                keys = batch.column(0).cast(pa.string()).slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([keys, names, pa.array([w.tolist() for w in where], pa.list_(pa.int32())), pa.array([row[w].tolist() for row, w in zip(counts, where, strict=True)], pa.list_(pa.float32()))], names=["k", "lang", "at", "n"])
+                own = [c.slice(part.first, len(part)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([w.tolist() for w in where], pa.list_(pa.int32())), pa.array([row[w].tolist() for row, w in zip(counts, where, strict=True)], pa.list_(pa.float32()))], names=["lang", "lot", "at", "n"])
 
-    found = sample.mapInArrow(grams, "k string, lang string, at array<int>, n array<float>").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")])
+    once = picked.mapInArrow(grams, "lang string, lot long, at array<int>, n array<float>").groupBy("lang", "lot").agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.shiftrightunsigned("lot", 20), F.lit(1 << 30)), "lot"))
+    found = once.withColumn("place", place).where(F.col("place") <= quota).toArrow().sort_by([("lot", "ascending"), ("lang", "ascending")])
     names = sorted(sizes)
     where = {name: i for i, name in enumerate(names)}
     y = np.array([where[x] for x in found.column("lang").to_pylist()], int)
@@ -200,11 +206,11 @@ def has_letter(part: kernel.Texts) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model, *, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, lang_pred, score (0 to 1), ambiguous."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    packed = sent(docs.sparkSession, model)
     schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = received(packed)
         names = np.array([*model.names, UNDETERMINED], object)
         for batch in batches:
             best, score = [], []

@@ -122,15 +122,11 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, doc_key: str = "doc_id", text: str = "text", label: str = "quality") -> trees.Forest:
-    sample = labelled_sample(docs, labels, label, max_rows=max_train, doc_key=doc_key, text=text)
+    def features(column: pa.Array) -> list[pa.Array]:
+        return [pa.array(np.concatenate([statistics(p)[1] for p in kernel.slices(column)]).tolist(), pa.list_(pa.float64()))]
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(p)[1] for p in kernel.slices(batch.column(0))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
-
-    found = sorted((list(r.x), r.label) for r in sample.select("text", "label").mapInArrow(features, "x array<double>, label int").collect())
+    sample = labelled_sample(docs, labels, label, features, "x array<double>", max_rows=max_train, doc_key=doc_key, text=text)
+    found = sorted((list(r.x), r.label) for r in sample.select("x", "label").collect())
     x, y = np.array([r[0] for r in found]).reshape(-1, len(FEATURES)), np.array([r[1] for r in found], float)
     return trees.fit(x, y, MONOTONE)
 

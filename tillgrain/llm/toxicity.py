@@ -5,9 +5,9 @@ a bucket that at least ``LEAST_DOCS`` training texts use (more in a large sample
 fixed zero vector. Filters of widths 1, 2 and 3 run over the whole text, the largest response of each
 filter is kept (max pooling), and a logistic layer turns these into a score.
 
-Training is on the driver, from a bounded sample: at most ``max_train`` labelled rows by a hash of the key,
-of at most ``MAX_WORDS`` words each (scoring always covers whole texts); only bucket numbers are collected,
-and equal texts count once. A fifth of the sample stays out of training: on it the score is shifted so that
+Training is on the driver, from a bounded sample of whole texts: at most ``max_train`` labelled rows and
+``max_words`` words in all, by a hash of the key, so that texts of all lengths have the same chance; only
+bucket numbers are collected, and equal texts count once. A fifth of the sample stays out of training: on it the score is shifted so that
 0.3 is the best global cut, and a cut for each language with enough rows is calibrated. The language only
 picks that cut; it never enters a score.
 
@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 
 from tillgrain.llm import kernel
 from tillgrain.llm.sampling import labelled_sample
+from tillgrain.llm.session import received, sent
 
 MAX_TRAIN = 12_000
-MAX_WORDS = 4_000
+MAX_WORDS = 1 << 23
 BUCKETS = 1 << 22
 LEAST_DOCS = 3
 WIDTHS = (1, 2, 3)
@@ -190,24 +191,26 @@ def _gradients(net: Net, texts: list[np.ndarray], y: np.ndarray, weight: np.ndar
     return [embed, *filters, *offset, active.T @ slope + 1e-4 * net.out, np.array([slope.sum()])]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, max_train: int = MAX_TRAIN, doc_key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang") -> Net:
+def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, doc_key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang") -> Net:
     """Fit on labelled documents; ``where`` limits the labels by their key, which it knows as column k."""
-    packed = docs.select(F.col(doc_key), F.struct(F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("l")).alias("both")).where("both.t IS NOT NULL")
-    sample = labelled_sample(packed, labels, label, max_rows=max_train, doc_key=doc_key, text="both", where=where)
 
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernel.slices(batch.column(0)):
-                ids, first = _buckets(part)
-                few = np.flatnonzero(np.diff(first) <= MAX_WORDS)
-                if len(few):
-                    pick = pa.array(few + part.first)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[first[i] : first[i + 1]].astype(np.int32).tolist() for i in few], pa.list_(pa.int32())), batch.column(1).take(pick), batch.column(2).take(pick)], names=["w", "l", "label"])
-
-    found = sample.select("text.t", "text.l", "label").mapInArrow(numbers, "w array<int>, l string, label int").toArrow()
+    def numbers(column: pa.Array) -> list[pa.Array]:
+        out = []
+        for part in kernel.slices(column):
+            ids, first = _buckets(part)
+            out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
+        return [pa.concat_arrays(out)]
+
+    sample = labelled_sample(docs, labels, label, numbers, "w array<int>", max_rows=max_train, doc_key=doc_key, text=text, also=F.col(lang) if lang else None, where=where)
+    # the sample's words are bounded too: whole texts in the order of their lots, as far as the words go
+    sizes = sorted((r.lot, r.n) for r in sample.select("lot", F.size("w").alias("n")).collect())
+    within = np.searchsorted(np.cumsum([n for _, n in sizes]), max_words, "right")
+    if within < len(sizes):
+        sample = sample.where(F.col("lot") < sizes[max(1, int(within))][0])
+    found = sample.select("w", "also", "label").toArrow()
     # equal texts count once, with their smallest label; the order of rows depends on their content alone
     seen: dict[bytes, tuple] = {}
-    for w, l, y in zip(found.column("w"), found.column("l").to_pylist(), found.column("label").to_pylist(), strict=True):
+    for w, l, y in zip(found.column("w"), found.column("also").to_pylist(), found.column("label").to_pylist(), strict=True):
         ids = w.values.to_numpy()
         key = hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
         if key not in seen or (y, l or "") < seen[key][:2]:
@@ -218,11 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, ma
 
 def score(docs: DataFrame, net: Net, *, doc_key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Per row: key, score, flagged (the score reaches the cut of the row's language, CUT where it has none)."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    packed = sent(docs.sparkSession, net)
     schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField("score", T.DoubleType()), T.StructField("flagged", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
+        net = received(packed)
         lookup, tables = net.lookup(), net.tables()
         for batch in batches:
             scores = [1 / (1 + np.exp(-np.clip(_part_logits(net, part, lookup, tables), -50, 50))) for part in kernel.slices(batch.column(1))]
@@ -241,19 +244,19 @@ def _part_logits(net: Net, part: kernel.Texts, lookup: np.ndarray, tables: list[
 
 
 def drop_toxic(docs: DataFrame, net: Net, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that are not flagged, all columns as they came, in one pass over them."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
-    names, t, l = docs.columns, docs.columns.index(text), docs.columns.index(lang)
+    """The documents that are not flagged, all columns as they came, in one pass over them. A null text has the score of an
+    empty one, a null language the global cut; without a column ``lang`` that cut holds for all."""
+    packed = sent(docs.sparkSession, net)
+    t, l = docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
+        net = received(packed)
         lookup, tables = net.lookup(), net.tables()
         for batch in batches:
             logits = [_part_logits(net, part, lookup, tables) for part in kernel.slices(batch.column(t))]
             if logits:
-                cuts = np.array([net.cuts.get(x, CUT) for x in batch.column(l).to_pylist()])
+                cuts = np.array([net.cuts.get(x, CUT) for x in batch.column(l).to_pylist()]) if l is not None else CUT
                 fine = 1 / (1 + np.exp(-np.clip(np.concatenate(logits), -50, 50))) < cuts
                 yield batch.filter(pa.array(fine))
 
-    assert len(set(names)) == len(names)
     return docs.mapInArrow(keep, docs.schema)
