@@ -26,7 +26,7 @@ def brute(rows, min_docs=3, similar=0.6, depth=3):
         docs[name(leaf, g)].add(row)
     drop = defaultdict(set)
     for row, at, leaf, g in lines:
-        if len(docs[name(leaf, g)]) >= min_docs:
+        if len(docs[name(leaf, g)]) >= (2 if len(g) >= 50 else min_docs):
             drop[row].add(at)
     out = []
     for doc, text in rows:
@@ -62,3 +62,39 @@ def test_families_of_one_leaf_each_get_a_template(spark, frame, rng):
         for i, text in rows:
             line, other = text.split("\n")
             assert got[i] == (text if line in alone else other)
+
+
+def test_a_long_line_of_two_documents_recurs(spark, frame, rng):
+    def line(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+
+    long, short = line(50), line(49)
+    rows = [(1, f"{line(60)}\n{long}"), (2, f"{long}\n{short}"), (3, f"{short}\n{line(50)}")]
+    got = {r.doc_id: r.text for r in loglines.dedup(frame(rows)).collect()}
+    assert got == {1: rows[0][1].split("\n")[0], 2: short, 3: rows[2][1]}
+
+
+def test_very_many_lines(spark, frame):
+    texts = ["\n".join([f"Entry {i} of the log was written" for i in range(100_000)] + [f"the end of {name}"]) for name in ("one", "two two", "three is here")]
+    out = loglines.dedup(frame(list(enumerate(texts)))).collect()
+    assert [(r.n_lines, r.n_dropped) for r in out] == [(100_001, 100_000)] * 3 and {r.text for r in out} == {"the end of one", "the end of two two", "the end of three is here"}
+
+
+def test_recall_of_planted_templates(spark, frame, rng):
+    """Boilerplate of several families with fields, some of which share a path, against the generator's truth."""
+    families = [["We", "ask", "that", *("".join(rng.choices("klmnop", k=6)) for _ in range(rng.randrange(9, 30)))] for _ in range(25)]
+    planted, rows = 0, []
+    for i in range(400):
+        lines = [" ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(rng.randrange(6, 30))) for _ in range(3)]
+        marks = []
+        for f in rng.sample(range(25), 3):
+            words = list(families[f])
+            for at in rng.sample(range(4, len(words)), 2):
+                words[at] = "".join(rng.choices("uvwxyz", k=5))
+            marks.append(" ".join(words))
+        planted += 3
+        rows.append((i, "\n".join(lines + marks)))
+    out = loglines.dedup(frame(rows)).collect()
+    dropped = sum(r.n_dropped for r in out)
+    own_kept = all(set(rows[r.doc_id][1].split("\n")[:3]) <= set(r.text.split("\n")) for r in out)
+    assert dropped >= 0.9 * planted and own_kept

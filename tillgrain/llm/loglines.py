@@ -7,8 +7,9 @@ places are variable. A line belongs to its leaf's template if the template has t
 ``SIMILAR`` of its places. The lines that a template leaves get one of their own in the same way. Where no line
 belongs to the template, families of the same size hide each other: the lines are dealt out by the tokens of one
 place (those that recur each to a node, the others to one node), and each node gets a template. So it goes on until
-no node with unassigned lines of ``MIN_DOCS`` or more can be split; a line that no template has is a
-template of its own. Templates that ``MIN_DOCS`` different documents have are recurring, and their lines are dropped.
+no node with enough unassigned lines can be split; a line that no template has is a template of its own.
+Templates that enough different documents have are recurring, and their lines are dropped: ``MIN_DOCS``, but two
+for lines of ``LONG`` tokens or more, which don't recur by chance.
 
 A place deals out the lines of a path once at most, as after that it is constant or without a token that recurs; so rounds end.
 
@@ -19,7 +20,7 @@ twice at every size: lines to the leaves worth looking at, documents to their dr
 are told to merge, as what they join with grows with the documents.
 
 Special cases: a null text stays null with no lines; lines without a token are never dropped. Documents are
-told apart by a hash of key and text: repeated rows count as one document, and each is in the result. Other
+told apart by 128 bits of key and text: repeated rows count as one document, and each is in the result. Other
 columns are ignored.
 """
 
@@ -28,11 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillgrain.llm.session import stored
+from tillgrain.llm.session import row_id, stored
 
 DEPTH = 3
 SIMILAR = 0.6
 MIN_DOCS = 3
+LONG, LONG_MIN_DOCS = 50, 2
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -45,9 +47,16 @@ def _general(token: Column) -> Column:
     return F.when(F.regexp_like(token, F.lit("[0-9]")), F.lit(FIELD)).otherwise(token)
 
 
+def enough(size: Column, min_docs: int) -> Column:
+    """How many documents make a template of so many tokens recurring."""
+    return F.when(size >= LONG, min(min_docs, LONG_MIN_DOCS)).otherwise(min_docs)
+
+
 def _lines(docs: DataFrame, doc_key: str, text: str) -> DataFrame:
     """(row, at, line, tokens, leaf) of all lines with a token."""
-    split = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc_key), F.col(text)).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    # the row's bits come first: beside the generator they would be computed from the whole text for each line
+    rows = docs.where(F.col(text).isNotNull()).select(row_id(doc_key, text).alias("row"), F.col(text).alias("t"))
+    split = rows.select("row", F.posexplode(F.split("t", "\n")).alias("at", "line"))
     return _with_leaf(split)
 
 
@@ -75,10 +84,11 @@ def _fits(kinds: DataFrame, similar: float) -> DataFrame:
     return kinds.join(template, "node", "left").select(*kinds.columns, fits.alias("fits"))
 
 
-def _split(kinds: DataFrame, min_docs: int) -> DataFrame:
+def _split(kinds: DataFrame) -> DataFrame:
     """``kinds`` of nodes whose template fits no line, dealt to smaller nodes by the tokens of one place; without nodes that have no such place."""
-    counts = _counts(kinds)
-    often = F.col("n") >= min_docs
+    # of a node all lines have one number of tokens, and so one number of documents that is enough
+    counts = _counts(kinds).join(kinds.groupBy("node").agg(F.first("enough").alias("enough")), "node")
+    often = F.col("n") >= F.col("enough")
     places = counts.groupBy("node", "place").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("cover"), F.count(F.when(often, 1)).alias("tokens")).where("top < total AND cover > 0")
     # tokens that recur tell families apart best where they cover most lines, and the fewer the better: fields have many
     best = places.groupBy("node").agg(F.max(F.struct("cover", -F.col("tokens"), -F.col("place"), "place")).getField("place").alias("place"))
@@ -88,47 +98,54 @@ def _split(kinds: DataFrame, min_docs: int) -> DataFrame:
     return at.join(recur, ["node", "place", "token"], "left").withColumn("node", F.xxhash64("node", "place", label, F.col("recurs").isNull())).select(*kinds.columns)
 
 
-def _named(kinds: DataFrame, min_docs: int, similar: float) -> DataFrame:
+def _named(kinds: DataFrame, similar: float) -> DataFrame:
     """(leaf, line, name) of the distinct generalised lines that a template has, each leaf with as many templates as it takes."""
     todo, found = kinds.withColumn("node", F.col("leaf")), None
     while True:
         tried = stored(_fits(todo, similar))
         part = tried.where("fits").select("leaf", F.xxhash64("general").alias("line"), F.xxhash64("node").alias("name"))
         found = part if found is None else found.unionByName(part)
-        rest = stored(tried.groupBy("node").agg(F.coalesce(F.sum(F.when(~F.col("fits"), F.col("n"))), F.lit(0)).alias("rest"), F.max("fits").alias("some")).where(F.col("rest") >= min_docs).select("node", "some"))
+        rest = tried.groupBy("node").agg(F.coalesce(F.sum(F.when(~F.col("fits"), F.col("n"))), F.lit(0)).alias("rest"), F.max("fits").alias("some"), F.first("enough").alias("enough"))
+        rest = stored(rest.where("rest >= enough").select("node", "some"))
         if rest.isEmpty():
             return found
         left = tried.where("NOT fits").drop("fits").join(rest, "node")
         # what a template leaves gets one of its own; a node without lines like its template is split
         peeled = left.where("some").withColumn("node", F.xxhash64("node", F.lit("rest"))).select(*todo.columns)
-        todo = stored(peeled.unionByName(_split(left.where("NOT some").select(*todo.columns), min_docs)))
+        todo = stored(peeled.unionByName(_split(left.where("NOT some").select(*todo.columns))))
 
 
 def recurring_lines(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """(row, dropped): for each document with lines of recurring templates, their places (from 0)."""
-    paths = _lines(docs, doc_key, text).select("leaf", "row")
-    busy = stored(paths.distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
+    lines = _lines(docs, doc_key, text).withColumn("enough", enough(F.size("tokens"), min_docs))
+    paths = lines.select("leaf", "enough", "row").distinct()
+    busy = stored(paths.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.first("enough").alias("enough")).where("docs >= enough").select("leaf"))
     # the lines themselves are dealt, not their tokens, which would take several times the space
     general = F.array_join(F.transform(tokens(F.col("line")), _general), " ")
-    lines = _lines(docs, doc_key, text).select("row", "at", "leaf", "line")
-    found = stored(lines.join(busy.hint("merge"), "leaf", "left_semi").select("row", "at", "leaf", general.alias("general")))
+    found = stored(lines.select("row", "at", "leaf", "enough", "line").join(busy.hint("merge"), "leaf", "left_semi").select("row", "at", "leaf", "enough", general.alias("general")))
 
-    kinds = stored(found.groupBy("leaf", "general").agg(F.count(F.lit(1)).alias("n")))
-    named = _named(kinds, min_docs, similar)
+    kinds = stored(found.groupBy("leaf", "general").agg(F.count(F.lit(1)).alias("n"), F.first("enough").alias("enough")))
+    named = _named(kinds, similar)
     line = F.xxhash64("general")
     own = F.coalesce("name", F.xxhash64("leaf", "line")).alias("name")
-    placed = stored(found.select("row", "at", "leaf", line.alias("line")).join(named, ["leaf", "line"], "left").select("row", "at", own))
+    placed = stored(found.select("row", "at", "leaf", "enough", line.alias("line")).join(named, ["leaf", "line"], "left").select("row", "at", "enough", own))
     # stored, so that the join below deals both sides anew and can split a template that very many documents have
-    again = stored(placed.select("name", "row").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("name"))
+    again = stored(placed.select("name", "enough", "row").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.first("enough").alias("enough")).where("docs >= enough").select("name"))
     return placed.join(again, "name").groupBy("row").agg(F.collect_set("at").alias("dropped"))
 
 
 def dedup(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: key, n_lines, n_dropped, and the text without the dropped lines."""
     drops = stored(recurring_lines(docs, doc_key=doc_key, text=text, **options))
-    rows = docs.select(F.col(doc_key), F.col(text).alias("t"), F.xxhash64(F.col(doc_key), F.col(text)).alias("row")).join(drops.hint("merge"), "row", "left")
+    rows = docs.select(F.col(doc_key), F.col(text).alias("t"), row_id(doc_key, text).alias("row")).join(drops.hint("merge"), "row", "left")
     lines = F.split("t", "\n")
-    rest = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("dropped", i)), "\n")
+
+    def without(all_: Column) -> Column:
+        # a hash set of places, not a search for each line; the lines are split once
+        kept = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("dropped"))
+        return F.array_join(F.transform(kept, lambda i: F.get(all_, i)), "\n")
+
+    rest = F.get(F.transform(F.array(lines), without), F.lit(0))
     return rows.select(
         F.col(doc_key),
         F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

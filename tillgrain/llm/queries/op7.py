@@ -25,8 +25,8 @@ k AS (SELECT DISTINCT leaf, general, len(g) AS size, g FROM p),
 x AS (SELECT leaf, general, unnest(range(1, size + 1)) AS place, unnest(g) AS token FROM k),
 h AS (SELECT leaf, general, count(*) AS hits FROM x JOIN f USING (leaf, place, token) GROUP BY ALL),
 n AS (SELECT k.leaf, k.general, CASE WHEN coalesce(hits, 0) >= {loglines.SIMILAR} * size THEN 'T ' || k.leaf ELSE 'L ' || k.leaf || ' / ' || k.general END AS name FROM k LEFT JOIN h USING (leaf, general)),
-q AS (SELECT p.doc_id, p.pos, n.name FROM p JOIN n USING (leaf, general)),
-r AS (SELECT name FROM q GROUP BY name HAVING count(DISTINCT doc_id) >= {loglines.MIN_DOCS}),
+q AS (SELECT p.doc_id, p.pos, n.name, CASE WHEN len(p.g) >= {loglines.LONG} THEN {loglines.LONG_MIN_DOCS} ELSE {loglines.MIN_DOCS} END AS enough FROM p JOIN n USING (leaf, general)),
+r AS (SELECT name FROM q GROUP BY name HAVING count(DISTINCT doc_id) >= any_value(enough)),
 o AS (SELECT doc_id, list(DISTINCT pos) AS dropped FROM q JOIN r USING (name) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
     CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(dropped, i)), lambda i: ls[i]), chr(10)) END AS text
