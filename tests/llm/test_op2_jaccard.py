@@ -53,15 +53,47 @@ def corpus(seed, groups=12, pool=60):
 
 
 @pytest.mark.parametrize("n,num,seed", [(3, 90, 1), (5, 80, 2), (3, 80, 3)])
-@pytest.mark.parametrize("local", [True, False])
-def test_components_by_brute_force(spark, frame, monkeypatch, n, num, seed, local):
-    if not local:  # all cells go the distributed way
+@pytest.mark.parametrize("way", ["plain", "dealt", "hot"])
+def test_components_by_brute_force(spark, frame, monkeypatch, n, num, seed, way):
+    if way == "dealt":  # all cells are dealt until they are tiny
         monkeypatch.setattr(jaccard, "LOCAL_NODES", 3)
-    rows = corpus(seed)
+    if way == "hot":  # names of 4 bits clash, a small sketch tells nothing, all regions count as large
+        monkeypatch.setattr(jaccard, "NODE_BITS", 4)
+        monkeypatch.setattr(jaccard, "SKETCH", 2)
+        monkeypatch.setattr(jaccard, "HOT", 3)
+    rows = corpus(seed, groups=5 if way == "dealt" else 12)
     got = jaccard.join(frame(rows), n=n, num=num).collect()
     assert sorted((str(r.doc), r.n_shingles, str(r.component)) for r in got) == brute(rows, n, num, 100)
 
 
+def passage_corpus(nodes, seed=4):
+    """Texts around one passage, each with words of its own; every tenth has a copy with one word changed."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    while len(texts) < nodes:
+        own = [f"o{rng.randrange(10**9)}" for _ in range(20)]
+        texts.append(" ".join(passage + own))
+        if rng.random() < 0.1:
+            texts.append(" ".join(passage + own[:-1] + ["changed"]))
+    return list(enumerate(texts))
+
+
+def test_rounds_grow_with_the_logarithm_of_a_cell(spark, frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "LOCAL_NODES", 40)
+    monkeypatch.setattr(jaccard, "SKETCH", 1)  # the passage is unseen: it takes part in every prefix
+    rounds = {}
+    for nodes in (150, 1500):
+        rows = passage_corpus(nodes)
+        docs = frame(rows)
+        passed = jaccard.stored(jaccard.first_pass(docs, 3, doc_key="doc_id", text="text"))
+        links, rounds[nodes] = jaccard.links_of(docs, passed, passed.where("n > 0"), 3, 90, 100, clashes=[])
+        labels = jaccard.components(links)
+        pairs = sum(1 for _, t in rows if t.endswith("changed"))
+        assert labels.count() == 2 * pairs and labels.select("label").distinct().count() == pairs
+    assert 1 <= rounds[150] and rounds[1500] <= rounds[150] + 3
+
+
 def test_odd_rows(spark, frame, odd):
     rows = [r[:2] for r in odd]
     got = jaccard.join(frame(odd, extra=True)).collect()
@@ -100,6 +132,7 @@ def test_one_of_each_keeps_the_smallest_and_all_columns(spark, frame, odd):
     kept = jaccard.one_of_each(df, n=3, num=90)
     want = {c for _, n, c in brute(rows, 3, 90, 100)}
     assert kept.columns == df.columns and {str(r.doc_id) for r in kept.collect()} == want
+    assert {r.row for r in kept.collect()} == {"x"} and {r.node for r in kept.collect()} == {"x"}
     # rows without words all stay; of alike rows one does
     texts = [r.text for r in jaccard.one_of_each(frame(odd)).collect()]
     assert texts.count("x") == 1 and texts.count(None) == 2 and texts.count("") == 1

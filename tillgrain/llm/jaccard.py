@@ -9,9 +9,9 @@ Texts with equal sets collapse into one *node* first, so copies cost nothing lat
    have it among the first n - ceil(t n) + 1 shingles of their set in one global order; linked nodes share at
    least ceil(t n) shingles, so they meet in some region: this is the window beyond which replication adds
    nothing. (Distances of whole texts to a few pivot texts are all close to 1 in text, and their
-   triangle windows would replicate nearly every text to every region; the README has the figures.) The global order
-   puts shingles that many texts share last: ``common``, counted on a bounded sample. Any order gives
-   the same links; this one keeps regions small.
+   triangle windows would replicate nearly every text to every region; the README has the figures.) The global
+   order puts shingles that many texts have last, by a sketch of counts over all documents. Any order
+   gives the same links; this one keeps regions small.
 2. *Pivots.* A region, by set size, falls apart wherever the next size is out of reach of the last one. Of each
    part the smallest set is the pivot, and the pair (node, pivot) is compared exactly, once for all regions that
    ask. Before texts are read, a contraction decides: the counts of a set's shingles in ``BUCKETS`` hash
@@ -20,15 +20,20 @@ Texts with equal sets collapse into one *node* first, so copies cost nothing lat
    its pivot, never a clique.
 3. *Recursion.* What a pivot didn't take in may still link. Its cell keeps the nodes farther than eps from it and,
    by the triangle inequality, of those within eps only the ones no nearer than the nearest outsider's
-   distance less eps. Cells of up to ``LOCAL`` shingles are joined in one task (after the contraction has
-   dismissed all that have no partner there), by Voronoi cells around further pivots with windows of 2 eps, until they are small enough to compare; larger cells choose
-   several new pivots each round and shrink by what these settle, so no cell is ever gathered
-   in one place.
+   distance less eps. A larger cell is dealt to the Voronoi regions of ``PIVOTS`` of its outsiders, a node to all
+   whose pivot is at most 2 eps farther than its nearest one: linked nodes meet in the region of either's nearest
+   pivot. Where these windows would replicate more than they part (all nodes about as far from each other, as
+   texts around one passage are), the cell's nodes are dealt to pivots that are shingles again, now in an order by
+   exact counts within the cell: what the cell's nodes share comes last and deals nobody. Either way the pivots are
+   settled and leave, and parts are dealt again until they have at most ``LOCAL_NODES`` nodes and ``LOCAL``
+   shingles. These are joined in one task (after the contraction has dismissed all that have no partner there), by Voronoi
+   cells with windows of 2 eps in memory.
 4. *Components.* Links are joined by spreading the smallest label, with pointer jumping.
 
-Shingles are 64-bit hashes, nodes 64-bit hashes of sets. Special cases: a null, empty or blank text has no
-shingles and links with nothing. Repeated rows are one node, and each row is in the result. Null keys
-don't name a component unless all its keys are null. Other columns pass by.
+Shingles are 64-bit hashes. Nodes are named by 64 bits of their set, told apart by 64 more. Special cases: a null,
+empty or blank text has no shingles and links with nothing. Repeated rows are one node, and each row is in the result.
+Null keys don't name a component unless all its keys are null. An empty table gives no rows. Other columns pass
+by, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,18 +48,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillgrain.llm import kernel
-from tillgrain.llm.session import stored
+from tillgrain.llm.session import received, released, row_id, sent, stored
 
-SAMPLE = 8_000
-MOST_COMMON = 1 << 18
-LEAST_SEEN = 3
+#: Counters of the sketch of shingle counts
+SKETCH = 1 << 20
+#: A region of more nodes has its pivots found in two steps
+HOT = 1 << 17
 #: Shingles that a cell joined in one task may have, and its nodes
 LOCAL, LOCAL_NODES = 1 << 21, 1 << 12
-PIVOTS = 16
+PIVOTS = 6
 ROWS_A_TASK = 2_000
 BUCKETS = 128
-#: Keys of 16 bytes that may be broadcast; more are joined by shuffle
+#: Keys of 24 bytes that may be broadcast; more are joined by shuffle
 BROADCAST_ROWS = 1 << 19
+#: Bits of a set's hash that name its node
+NODE_BITS = 64
 
 
 def prefix_size(n, num: int, den: int):
@@ -67,14 +75,22 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[kernel.Texts, np.ndarray,
         yield part, *kernel.distinct(*kernel.shingles(kernel.Words(part, lower=True), n))
 
 
-def _key(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(kernel.mix(hashes + np.uint64(0x2545F4914F6CDD1D)), out=total[1:])
-    return kernel.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+def _sums(terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(terms) + 1, np.uint64)
+    np.cumsum(kernel.mix(terms), out=total[1:])
+    return kernel.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
-def row_key(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+def _keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each set that name its node, and 64 more."""
+    node = _sums(hashes + np.uint64(0x2545F4914F6CDD1D), bounds) >> np.uint64(64 - NODE_BITS)
+    return node.view(np.int64), _sums(hashes ^ np.uint64(0x6A09E667F3BCC909), bounds).view(np.int64)
+
+
+def _named(hashes: np.ndarray, bounds: np.ndarray, clashes: list[int]) -> np.ndarray:
+    """The nodes of sets; ``clashes`` are names that two different sets have, which the other bits set apart."""
+    node, more = _keys(hashes, bounds)
+    return np.where(np.isin(node, clashes), node ^ more, node) if clashes else node
 
 
 def _counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -85,95 +101,93 @@ def _counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=sets * BUCKETS), 255).astype(np.uint8).reshape(sets, BUCKETS)
 
 
-def nodes_of(docs: DataFrame, n: int, *, doc_key: str, text: str) -> DataFrame:
-    """Per row: doc (its key), row (hash of key and text), n (set size), node (hash of the set), counts (its contraction)."""
-    schema = T.StructType([T.StructField("doc", docs.schema[doc_key].dataType), *(T.StructField(c, T.LongType()) for c in ("row", "n", "node")), T.StructField("counts", T.BinaryType())])
+def first_pass(docs: DataFrame, n: int, *, doc_key: str, text: str) -> DataFrame:
+    """Per row: doc (its key), row (128 bits of key and text), n (set size), node and more (bits of the set), counts (its
+    contraction). Beside these, rows with n of -1: counter ``node`` of the sketch and what it counts, ``more``."""
+    rows = docs.select(F.col(doc_key).alias("doc"), row_id(doc_key, text).alias("row"), F.col(text).alias("t"))
+    schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("n", "node", "more")), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, kinds = np.zeros(SKETCH, np.int64), None
         for batch in batches:
-            found = [(np.diff(b), _key(h, b), _counts(h, b)) for _, h, b in _sets(batch.column(2), n)]
+            found = []
+            for _, h, b in _sets(batch.column(2), n):
+                sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                found.append((np.diff(b), *_keys(h, b), _counts(h, b)))
             if found:
-                size, node, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(node), pa.array([c.tobytes() for c in counts], pa.binary())], names=schema.names)
-
-    return docs.select(F.col(doc_key).alias("doc"), row_key(doc_key, text).alias("row"), F.col(text).alias("t")).mapInArrow(run, schema)
-
-
-def common_shingles(docs: DataFrame, n: int, rows: int, *, doc_key: str, text: str) -> np.ndarray:
-    """Shingles that LEAST_SEEN or more texts of a bounded sample have: ascending by number of texts."""
-    part = max(1, rows // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text), F.lit(5)), F.lit(part)) == 0).select(F.col(text).alias("t")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, h, _ in _sets(batch.column(0), n):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["g"])
+                kinds = [batch.column(0).type, batch.column(1).type]
+                size, node, more, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(node), pa.array(more), pa.array([c.tobytes() for c in counts], pa.binary())], names=schema.names)
+        at = np.flatnonzero(sketch)
+        if len(at):
+            none = [pa.nulls(len(at), k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(at), -1)), pa.array(at), pa.array(sketch[at]), pa.nulls(len(at), pa.binary())], names=schema.names)
 
-    seen = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_SEEN)
-    rows_ = seen.orderBy(F.desc("c"), "g").limit(MOST_COMMON).toArrow()
-    return rows_.column("g").to_numpy().view(np.uint64)[::-1].copy()
+    return rows.mapInArrow(run, schema)
 
 
 class Order:
-    """The global order: uncommon shingles by hash, then common ones, the commonest last."""
-
-    def __init__(self, common: np.ndarray):
-        at = np.argsort(common)
-        self.hashes, self.rank = common[at], at
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[common & np.uint64((1 << 22) - 1)] = True
-
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """-1 for uncommon shingles."""
-        out = np.full(len(hashes), -1)
-        maybe = np.flatnonzero(self.bitmap[hashes & np.uint64((1 << 22) - 1)])
-        if len(maybe) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-            hit = self.hashes[at] == hashes[maybe]
-            out[maybe[hit]] = self.rank[at[hit]]
-        return out
+    """The global order: by how often documents have a shingle, as far as the sketch tells, then by hash."""
+
+    def __init__(self, sketch: np.ndarray):
+        self.level = np.minimum(np.log2(1.0 + sketch) * 1024, 65535).astype(np.uint16)
+        self.hot = sketch > HOT
 
     def prefixes(self, hashes: np.ndarray, bounds: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Which of the (ascending) hashes are in their set's prefix."""
+        """Places of the (ascending) hashes that are in their set's prefix."""
         size = np.diff(bounds)
         want = np.where(size > 0, prefix_size(size, num, den), 0)
-        rank = self.ranks(hashes)
-        rare = rank < 0
-        before = np.zeros(len(hashes) + 1, np.int64)
-        np.cumsum(rare, out=before[1:])
-        place = before[:-1] - np.repeat(before[bounds[:-1]], size)
-        keep = rare & (place < np.repeat(want, size))
-        missing = want - (before[bounds[1:]] - before[bounds[:-1]])
-        for i in np.flatnonzero(missing > 0):
-            a, b = bounds[i], bounds[i + 1]
-            own = np.flatnonzero(~rare[a:b])
-            keep[a + own[np.argsort(rank[a:b][own], kind="stable")[: missing[i]]]] = True
-        return keep
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.argsort((owner << 16) | self.level[hashes & np.uint64(SKETCH - 1)], kind="stable")
+        place = np.arange(len(hashes)) - np.repeat(bounds[:-1], size)
+        return order[place < np.repeat(want, size)]
+
+
+def _order(passed: DataFrame) -> Order:
+    found = passed.where("n = -1").groupBy(F.col("node").cast("int").alias("at")).agg(F.sum("more").alias("c")).toArrow()
+    sketch = np.zeros(SKETCH, np.int64)
+    sketch[found.column("at").to_numpy()] = found.column("c").to_numpy()
+    return Order(sketch)
 
 
-def _outer_regions(docs: DataFrame, n: int, num: int, den: int, order, text: str) -> DataFrame:
-    """(g, n, node): the nodes of each outer region, with their sizes."""
+def _outer_regions(docs: DataFrame, n: int, num: int, den: int, packed, clashes: list[int], text: str) -> DataFrame:
+    """(g, n, node, hot): the nodes of each outer region, with their sizes. Only a region that is hot may have more than HOT nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule = order.value
+        rule = received(packed)
         for batch in batches:
             for _, h, b in _sets(batch.column(0), n):
                 keep = rule.prefixes(h, b, num, den)
                 size = np.diff(b)
-                node, wide = np.repeat(_key(h, b), size), np.repeat(size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(wide[keep].astype(np.int32)), pa.array(node[keep])], names=["g", "n", "node"])
+                node, wide = np.repeat(_named(h, b, clashes), size), np.repeat(size, size)
+                hot = rule.hot[h[keep] & np.uint64(SKETCH - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(wide[keep].astype(np.int32)), pa.array(node[keep]), pa.array(hot)], names=["g", "n", "node", "hot"])
 
-    return docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, "g long, n int, node long")
+    return docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, "g long, n int, node long, hot boolean")
+
+
+def _begins(region: W, num: int, den: int) -> Column:
+    """Whether a row's size is out of reach of the one before."""
+    return F.coalesce(F.lag("n").over(region) * den < F.col("n") * num, F.lit(True))
 
 
 def _pivoted(outer: DataFrame, num: int, den: int) -> DataFrame:
     """(x, nx, p, np): each node with the pivots of its regions' parts, once. By ascending size, a part ends where the next size
-    is out of reach of the last; its first node is the pivot."""
+    is out of reach of the last; its first node is the pivot. Nodes are in one order within a region of bounded size."""
     region = W.partitionBy("g").orderBy("n", "node")
-    begins = F.coalesce(F.lag("n").over(region) * den < F.col("n") * num, F.lit(True))
-    marked = outer.withColumn("head", F.when(begins, F.struct("node", "n")))
+    marked = outer.withColumn("head", F.when(_begins(region, num, den), F.struct("node", "n")))
     parts = marked.withColumn("head", F.last("head", ignorenulls=True).over(region.rowsBetween(W.unboundedPreceding, 0)))
-    return parts.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("p"), F.col("head.n").alias("np")).where("x <> p").distinct()
+    return parts.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("p"), F.col("head.n").alias("np")).where("x <> p")
+
+
+def _pivoted_hot(outer: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for regions of any size: sizes are counted first, and only a region's distinct sizes are put in order."""
+    sizes = outer.groupBy("g", "n").agg(F.min("node").alias("node"))
+    region = W.partitionBy("g").orderBy("n")
+    marked = sizes.withColumn("head", F.when(_begins(region, num, den), F.struct("node", "n")))
+    heads = stored(marked.select("g", "n", F.last("head", ignorenulls=True).over(region.rowsBetween(W.unboundedPreceding, 0)).alias("head")))
+    return outer.join(heads, ["g", "n"]).select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("p"), F.col("head.n").alias("np")).where("x <> p")
 
 
 def _contracted(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -352,7 +366,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, doc_key: str, te
     """(node, t): a text of each asked node."""
     first = stored(nodes.join(asked, "node", "left_semi").select("node", "row"))
     few = first.count() <= BROADCAST_ROWS
-    found = docs.select(row_key(doc_key, text).alias("row"), F.col(text).alias("t")).join(F.broadcast(first) if few else first, "row")
+    found = docs.select(row_id(doc_key, text).alias("row"), F.col(text).alias("t")).join(F.broadcast(first) if few else first, "row")
     return stored(found.select("node", "t"))
 
 
@@ -415,26 +429,113 @@ def _with_partner(cells: DataFrame, num: int, den: int, tasks: int) -> DataFrame
     return dealt.mapInArrow(run, "cell long, node long, near boolean")
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, doc_key: str = "doc_id", text: str = "text") -> list[DataFrame]:
-    """Links (x, p) between nodes, as stored frames: enough to connect all linked nodes."""
-    spark, eps = docs.sparkSession, 1 - num / den
+def _all_pairs(docs: DataFrame, passed: DataFrame, n: int, num: int, den: int, clashes: list[int], text: str) -> DataFrame:
+    """What ``_pivoted`` gives for all outer regions."""
+    order = _order(passed)
+    outer = _outer_regions(docs, n, num, den, sent(docs.sparkSession, order), clashes, text)
+    if not order.hot.any():
+        return stored(_pivoted(outer, num, den).distinct())
+    outer = stored(outer)
+    pairs = stored(_pivoted(outer.where("NOT hot"), num, den).unionByName(_pivoted_hot(outer.where("hot"), num, den)).distinct())
+    released(outer)
+    return pairs
+
+
+def _near_window(cells: DataFrame, eps: float) -> DataFrame:
+    """``cells`` (cell, node, near, size, d: distance to the pivot that the near ones link with) without the near nodes that no
+    outsider can link with, and without cells that have no outsider."""
+    sides = cells.groupBy("cell").agg(F.min(F.when(~F.col("near"), F.col("d"))).alias("nearest")).where("nearest IS NOT NULL")
+    return cells.join(sides, "cell").where(f"NOT near OR d >= nearest - {eps} - 1e-9").select("cell", "node", "near", "size")
+
+
+def _voronoi(cells: DataFrame, far: DataFrame, eps: float) -> DataFrame:
+    """(cell, home, node, near, size, d): nodes (pivots left out) in the regions of all pivots that are at most 2 eps farther than
+    their nearest one; home is the cell they come from. ``far``: cell, node, p, d, linked."""
+    nearest = far.groupBy("cell", "node").agg(F.min("d").alias("nearest"))
+    at = far.join(nearest, ["cell", "node"]).where(f"d <= nearest + {2 * eps} + 1e-9")
+    at = at.join(cells.select("cell", "node", "size", F.col("near").alias("was")), ["cell", "node"])
+    regions = stored(at.select(F.xxhash64("cell", "p").alias("cell"), F.col("cell").alias("home"), "node", F.col("linked").alias("near"), "size", "d", "was"))
+    # nodes that were known to be linked with each other have nothing to look for among themselves
+    return regions.join(regions.groupBy("cell").agg(F.min("was").alias("all")).where("NOT all").select("cell"), "cell").drop("was")
+
+
+def _by_shingles(cells: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(cell, node, near, size): the cells' nodes dealt to regions of single shingles, in an order by counts within the cell.
+
+    Of two linked nodes the smaller has a common shingle among its first n - ceil(2 t n / (1 + t)) + 1, and the larger has
+    it among its first n - ceil(t n) + 1; so a region is needed only where some node has its shingle that early. Shingles
+    that one node alone has come first and lead nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = 0
+            for part, h, bounds in _sets(batch.column(4), n):
+                size = np.diff(bounds)
+                at = pa.array(np.repeat(np.arange(i, i + len(part)), size))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), pa.array(h.view(np.int64))], names=["cell", "node", "near", "size", "g"])
+                i += len(part)
+
+    spread = stored(cells.join(texts, "node").select("cell", "node", "near", "size", "t").mapInArrow(run, "cell long, node long, near boolean, size int, g long"))
+    shared = stored(spread.groupBy("cell", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    own = W.partitionBy("cell", "node")
+    met = spread.join(shared, ["cell", "g"]).withColumn("place", F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "g")))
+    early = met.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1)
+    early = stored(early.withColumn("first", F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * num) / (den + num)) + 1))
+    some = early.groupBy("cell", "g").agg(F.max("first").alias("first"), F.min("near").alias("all_near"), F.count(F.lit(1)).alias("nodes")).where("first AND NOT all_near AND nodes > 1").select("cell", "g")
+    out = stored(early.join(some, ["cell", "g"]).select(F.xxhash64("cell", "g").alias("cell"), "node", "near", "size"))
+    released(spread, shared, early)
+    return out
+
+
+def _dealt(cells: DataFrame, read, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Deal large cells (cell, node, near, size) to smaller ones: links (x, p) with the pivots, and the new cells."""
+    eps = 1 - num / den
+    lot = F.pmod(F.xxhash64("node", "cell"), F.lit(PIVOTS))
+    pivots = cells.where("NOT near").groupBy("cell", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64("node", "cell", F.lit(1)), "node", "size")).alias("v"))
+    pivots = stored(pivots.select("cell", F.col("v.node").alias("p"), F.col("v.size").alias("np")))
+    texts = read(cells.select("node"))
+    pairs = cells.join(pivots, "cell").where("node <> p")
+    exact = _compare(pairs.select(F.col("node").alias("x"), "p").distinct(), texts, n).withColumn("d", _distance()).withColumn("linked", _linked(num, den))
+    exact = stored(exact.select("x", "p", "d", "linked"))
+    rest = cells.join(pivots.select("cell", F.col("p").alias("node")), ["cell", "node"], "left_anti")
+    far = stored(rest.join(pivots, "cell").select("cell", "node", "p").join(exact.withColumnRenamed("x", "node"), ["node", "p"]))
+    regions = stored(_voronoi(rest, far, eps))
+    # a cell parts by regions if comparing within them is at most half of comparing within the cell
+    before = rest.groupBy(F.col("cell").alias("home")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    after = regions.groupBy("home", "cell").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("home").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    parted = stored(before.join(after, "home").select(F.col("home").alias("cell"), (F.col("work") <= F.col("n") * F.col("n") / 2).alias("parted")))
+    by_region = _near_window(regions.join(parted.where("parted").select(F.col("cell").alias("home")), "home"), eps)
+    # the others keep one group known to be linked: around the pivot with most links in the cell, or the one they had
+    best = far.groupBy("cell", "p").agg(F.count(F.when(F.col("linked"), 1)).alias("links")).groupBy("cell").agg(F.max(F.struct("links", "p")).alias("best"))
+    had = rest.groupBy("cell").agg(F.count(F.when(F.col("near"), 1)).alias("had"))
+    best = best.join(had, "cell").join(parted.where("NOT parted").select("cell"), "cell").where("best.links > had").select("cell", F.col("best.p").alias("p"))
+    stars = _near_window(far.join(best, ["cell", "p"]).join(rest.select("cell", "node", "size"), ["cell", "node"]).select("cell", "node", F.col("linked").alias("near"), "size", "d"), eps)
+    old = rest.join(parted.where("NOT parted").select("cell"), "cell").join(best.select("cell"), "cell", "left_anti").select("cell", "node", "near", "size")
+    by_shingle = _by_shingles(stored(stars.unionByName(old)), texts, n, num, den)
+    return exact.where("linked").select("x", "p"), by_region.unionByName(by_shingle)
+
+
+def links_of(docs: DataFrame, passed: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, clashes: list[int], doc_key: str = "doc_id", text: str = "text") -> tuple[list[DataFrame], int]:
+    """Links (x, p) between nodes, as stored frames: enough to connect all linked nodes; and how often cells were dealt."""
+    eps, rounds = 1 - num / den, 0
+    pairs = _all_pairs(docs, passed, n, num, den, clashes, text)
     rows = nodes.count()
-    order = spark.sparkContext.broadcast(Order(common_shingles(docs, n, rows, doc_key=doc_key, text=text)))
+    asked = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("p").alias("node"))).distinct()
     # one row for each set, merged before anything is dealt by node: copies of one text may be many
     nodes = stored(nodes.groupBy("node").agg(F.min("row").alias("row"), F.first("counts").alias("counts")), 10 * rows)
-    pairs = stored(_pivoted(_outer_regions(docs, n, num, den, order, text), num, den))
-    asked = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("p").alias("node"))).distinct()
     counts = stored(nodes.join(asked, "node", "left_semi").select("node", "counts"))
 
-    def read(maybe: DataFrame) -> DataFrame:
-        return _texts(docs, nodes, maybe.select(F.col("x").alias("node")).union(maybe.select(F.col("p").alias("node"))).distinct(), doc_key, text)
+    def read(wanted: DataFrame) -> DataFrame:
+        return _texts(docs, nodes, wanted.distinct(), doc_key, text)
+
+    def read_pairs(maybe: DataFrame) -> DataFrame:
+        return read(maybe.select(F.col("x").alias("node")).union(maybe.select(F.col("p").alias("node"))))
 
-    judged = _judged(pairs, counts, read, n, num, den)
+    judged = _judged(pairs, counts, read_pairs, n, num, den)
     links = [judged.where("near").select("x", "p")]
 
     # cells: what lies outside each pivot's reach, and the pivot's own nodes that could link with it
-    sides = judged.groupBy("p").agg(F.count(F.when(~F.col("near"), 1)).alias("out"), F.min(F.when(~F.col("near"), F.col("d"))).alias("nearest"))
-    cells = judged.join(sides.where("out > 0"), "p").where(f"NOT near OR d >= nearest - {eps} - 1e-9").select(F.col("p").alias("cell"), F.col("x").alias("node"), "near", F.col("nx").alias("size"), "d")
+    cells = _near_window(judged.select(F.col("p").alias("cell"), F.col("x").alias("node"), "near", F.col("nx").alias("size"), "d"), eps)
     while True:
         cells = stored(cells)
         weight = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("shingles"), F.count(F.when(~F.col("near"), 1)).alias("out")).where("nodes > 1 AND out > 0"), rows)
@@ -443,19 +544,14 @@ def links_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, *, d
         if kinds.few:
             mine = cells.join(weight.where(small).select("cell"), "cell").select("cell", "node", "near", "size").join(counts, "node")
             mine = stored(_with_partner(mine, num, den, kinds.rows // ROWS_A_TASK))
-            texts = _texts(docs, nodes, mine.select("node").distinct(), doc_key, text)
+            texts = read(mine.select("node"))
             links.append(stored(_join_cells(mine.join(texts, "node"), n, num, den, mine.count() // ROWS_A_TASK)))
+            released(mine, texts)
         if not kinds.many:
-            return links
-        cells = cells.join(weight.where(~small).select("cell"), "cell")
-        # some pivots of each large cell: the smallest outsider of each hash bucket
-        pivots = stored(cells.where("NOT near").groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("lot")).agg(F.min(F.struct("node", "size")).alias("v")).select("cell", F.col("v.node").alias("p"), F.col("v.size").alias("np")))
-        # of the cell's sets, only those whose size is in reach of the pivot's can link with it
-        wanted = cells.join(pivots, "cell").where("node <> p").where(F.least("size", "np") * den >= F.greatest("size", "np") * num)
-        judged = _judged(wanted.select(F.col("node").alias("x"), F.col("size").alias("nx"), "p", "np").distinct(), counts, read, n, num, den)
-        links.append(judged.where("near").select("x", "p"))
-        # the pivots are settled against all they could link with; the rest goes on without them
-        cells = cells.join(pivots.select("cell", F.col("p").alias("node")), ["cell", "node"], "left_anti")
+            return links, rounds
+        met, cells = _dealt(stored(cells.join(weight.where(~small).select("cell"), "cell")), read, n, num, den)
+        links.append(met)
+        rounds += 1
 
 
 def components(links: list[DataFrame]) -> DataFrame:
@@ -466,22 +562,31 @@ def components(links: list[DataFrame]) -> DataFrame:
     rows = edges.count()
     edges = stored(edges.unionByName(edges.select(F.col("p").alias("x"), F.col("x").alias("p"))).distinct(), rows)
     labels = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("p"), F.col("x")).alias("label")), rows)
+    last = labels
     while True:
         told = edges.join(labels.withColumnRenamed("node", "p"), "p").select(F.col("x").alias("node"), "label")
         best = labels.withColumnRenamed("label", "old").join(told.groupBy("node").agg(F.min("label").alias("told")), "node").withColumn("best", F.least("old", "told"))
         hop = labels.select(F.col("node").alias("best"), F.col("label").alias("further"))
         new = stored(best.join(hop, "best", "left").select("node", "old", F.least("best", F.coalesce("further", "best")).alias("label")), rows)
+        released(last)
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        last, labels = new, new.select("node", "label")
         if not changed:
+            released(edges)
             return labels
 
 
 def join(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc, row (hash of key and text), n_shingles, component (smallest key reachable by links)."""
-    nodes = stored(nodes_of(docs, n, doc_key=doc_key, text=text))
+    """Per row: doc, row (bits of key and text), n_shingles, component (smallest key reachable by links)."""
+    passed = stored(first_pass(docs, n, doc_key=doc_key, text=text))
+    nodes = passed.where("n >= 0").select("doc", "row", "n", "node", "more", "counts")
+    # names that two different sets share: about rows^2 / 2^65, so none, or a few among 10^10 rows
+    clashes = [r.node for r in nodes.groupBy("node").agg(F.min("more").alias("a"), F.max("more").alias("b")).where("a <> b").select("node").collect()]
+    if clashes:
+        nodes = nodes.withColumn("node", F.when(F.col("node").isin(clashes), F.col("node").bitwiseXOR(F.col("more"))).otherwise(F.col("node")))
     worded = nodes.where("n > 0")
-    labels = components(links_of(docs, worded, n, num, den, doc_key=doc_key, text=text))
+    links, _ = links_of(docs, passed, worded, n, num, den, clashes=clashes, doc_key=doc_key, text=text)
+    labels = components(links)
     names = worded.groupBy("node").agg(F.min("doc").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = names.groupBy("label").agg(F.min("least").alias("component"))
     by_node = names.select("node", "label").join(least, "label").select("node", "component")
@@ -492,7 +597,8 @@ def join(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100, doc_key:
 def one_of_each(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that give their component its name, each once, and all without words; all columns as they came."""
     found = join(docs, n=n, num=num, den=den, doc_key=doc_key, text=text)
-    kept = found.where("n_shingles = 0 OR doc <=> component").select(F.col("row").alias("_row"), (F.col("n_shingles") > 0).alias("_worded")).distinct()
-    same = docs.withColumn("_row", row_key(doc_key, text)).join(kept, "_row")
-    number = F.row_number().over(W.partitionBy("_row").orderBy("_row"))
-    return same.withColumn("_number", number).where("_number = 1 OR NOT _worded").select(*docs.columns)
+    kept = found.where("n_shingles = 0 OR doc <=> component").select("row", (F.col("n_shingles") > 0).alias("worded")).distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    same = docs.select(whole, row_id(doc_key, text).alias("row")).join(kept, "row")
+    number = F.row_number().over(W.partitionBy("row").orderBy("row"))
+    return same.withColumn("number", number).where("number = 1 OR NOT worded").select("whole.*")
