@@ -95,3 +95,11 @@ def test_query(spark, folder):
     rows = got.collect()
     assert all(r["size"] == len((t or "").split()) for r, t in zip(sorted(rows, key=lambda r: r.doc_id), [t for _, t, *_ in sorted(docs, key=lambda x: x[0])], strict=True))
     check(rows, docs, max(r["size"] for r in rows))
+
+
+def test_mixed_keeps_columns_and_tells_null_cells_apart(spark, frame):
+    rows = [(1, "web " * 5, "en", None), (1, None, "en", "web " * 5), (None, "a b", "en", "s"), (2, "a b", "en", "s"), (2, "a b", "en", "s")]
+    df = frame(rows, extra=True).selectExpr("*", "'y' AS copies", "'y' AS number", "'y' AS whole", "'y' AS id")
+    out = mixing.mixed(df).collect()
+    assert {(r.row, r.digest, r._digest, r.copies, r.number, r.whole, r.id) for r in out} == {("x", "x", "x", "y", "y", "y", "y")}
+    assert df.select(mixing.row_id("doc_id", "text", "source").alias("i")).distinct().count() == 4 and all(r.text is not None for r in out)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillgrain.llm.session import stored
+from tillgrain.llm.session import row_id, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -112,7 +112,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def balanced(units: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """``units``: source (int), key (long), copy columns as they are, size (long), p (double). Returns them with p of 0 or 1.
+    """``units``: source (int), key and more (longs), copy columns as they are, size (long), p (double). Returns them with p of 0 or 1.
 
     Each round deals a source's open units over blocks and flies them; rounds end when every source fits
     one block, where the landing follows.
@@ -141,7 +141,7 @@ def balanced(units: DataFrame, *, block: int = BLOCK) -> DataFrame:
 
 def _flyer(last: bool, turn: int, names: list[str]):
     def fly(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["size", "key", "more"], ascending=[False, True, True], kind="stable")
         draws = np.random.default_rng([turn, len(rows), int(rows["size"].sum())]).random(len(rows))
         p, size = rows["p"].to_numpy(), rows["size"].to_numpy(float)
         moved = flight(p, size, draws)
@@ -151,10 +151,10 @@ def _flyer(last: bool, turn: int, names: list[str]):
 
 
 def mix(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """Per row: doc key, size, source_size, target (its source's), taken (words the mix takes), copies, and the row's digest and
-    number among rows with equal key and digest (to find the row again)."""
+    """Per row: doc key, size, source_size, target (its source's), taken (words the mix takes), copies, and id (128 bits of key,
+    text and source, to find the row again)."""
     spark = docs.sparkSession
-    narrow = stored(docs.select(F.col(doc_key).alias("k"), F.col(source).alias("s"), word_count(F.col(text)).alias("size"), digest(doc_key, text, source).alias("digest")))
+    narrow = stored(docs.select(F.col(doc_key).alias("k"), F.col(source).alias("s"), word_count(F.col(text)).alias("size"), row_id(doc_key, text, source).alias("id")))
     totals = narrow.groupBy("s").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
     found = totals.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -164,24 +164,22 @@ def mix(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", source:
     plan = F.broadcast(spark.createDataFrame(plan, "s2 string, source int, source_size long, target double, ratio double"))
     # documents of size 0 move nothing; they stay out of the draw
     units = narrow.join(plan, narrow.s.eqNullSafe(plan.s2)).select(
-        "source", F.col("digest").alias("key"), "k", "size", "source_size", "target", F.floor("ratio").cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0).alias("p")
+        "source", F.col("id.a").alias("key"), F.col("id.b").alias("more"), "k", "size", "source_size", "target", F.floor("ratio").cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0).alias("p")
     )
     drawn = balanced(units, block=block)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0)).cast("long")
-    return drawn.select(F.col("k").alias(doc_key), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("key").alias("digest"))
-
-
-def digest(*columns: str) -> Column:
-    return F.xxhash64(*columns)
+    return drawn.select(F.col("k").alias(doc_key), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.struct(F.col("key").alias("a"), F.col("more").alias("b")).alias("id"))
 
 
 def mixed(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: every document as many times as the mix takes it, all columns as they came.
+    """The mix itself: every document as many times as the mix takes it, all columns as they came, whatever their names.
 
-    Rows are found again by their digest. Only the copies of rows alike in key, text and source add up in one of them.
+    Rows are found again by their bits. Only the copies of rows alike in key, text and source add up in one of them. Nulls in
+    any column pass through; a document without a word has no copy; an empty table gives no rows.
     """
-    decided = mix(docs, doc_key=doc_key, text=text, source=source, **options).where("copies > 0").groupBy(F.col("digest").alias("_digest")).agg(F.sum("copies").alias("_copies"))
+    decided = mix(docs, doc_key=doc_key, text=text, source=source, **options).where("copies > 0").groupBy("id").agg(F.sum("copies").cast("int").alias("copies"))
     # of rows alike in key, text and source the first carries the copies of all
-    same = docs.withColumn("_digest", digest(doc_key, text, source)).join(decided.hint("merge"), "_digest")
-    first = same.withColumn("_number", F.row_number().over(W.partitionBy("_digest").orderBy("_digest"))).where("_number = 1")
-    return first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    same = docs.select(whole, row_id(doc_key, text, source).alias("id")).join(decided.hint("merge"), "id")
+    first = same.withColumn("number", F.row_number().over(W.partitionBy("id").orderBy("id"))).where("number = 1")
+    return first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
