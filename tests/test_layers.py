@@ -11,9 +11,13 @@ from tillgrain.streaming import bronze
 def test_layers_reconcile_with_the_marts(spark, folder, tmp_path):
     w = warehouse(spark, folder)
     out = lakehouse.build(w.raw_lines, str(tmp_path))
-    assert out["bronze_rows"] == w.raw_lines.count() and out["silver_rows"] == w.stg_lines.count()
-    assert out["bronze_versions"] == [(0, "OVERWRITE"), (1, "APPEND")]
-    assert abs(out["gold_revenue"] - w.mart_monthly.agg(F.sum("revenue")).first()[0]) < 0.01
+    rows = w.raw_lines.count()
+    assert sum(v["rows"] for v in out["layers"]["bronze"]) == rows and out["lines"] == w.stg_lines.count()
+    assert [(v["version"], v["operation"]) for v in out["layers"]["bronze"]] == [(0, "replace"), (1, "append")]
+    again = lakehouse.load_bronze(w.raw_lines.where("sheet = 1"), str(tmp_path))
+    assert [(r.version, r.load, r.operation) for r in again.orderBy("version").collect()] == [(0, 0, "replace"), (1, 0, "append"), (2, 1, "replace")]
+    assert [lakehouse.read_bronze(spark, str(tmp_path), v).count() for v in (1, 2, 0)] == [rows] + 2 * [w.raw_lines.where("sheet = 1").count()]
+    assert abs(out["revenue"] - w.mart_monthly.agg(F.sum("revenue")).first()[0]) < 0.01
     gold = spark.read.parquet(str(tmp_path / "gold" / "customer_value"))
     both = gold.join(w.mart_customer_rfm, "customer_id").where("abs(net_spend - monetary) > 0.01")
     assert gold.count() == w.mart_customer_rfm.count() and both.count() == 0

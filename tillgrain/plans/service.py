@@ -87,13 +87,16 @@ class Service:
         if not 3 <= len(question) <= 300:
             raise ValueError("a question has 3 to 300 characters")
         if self.model is None:
-            return {"question": question, "answered": False, "reason": "no language model is set"}
+            return self._reply(question, "unavailable", message="no language model is set")
         try:
-            a = assistant.ask(self.spark, question, self.model)
+            found = assistant.ask(self.spark, question, self.model)
         except OSError as e:
-            return {"question": question, "answered": False, "reason": f"the language model can't be reached: {e}"}
-        if a.declined:
-            return {"question": question, "answered": False, "reason": "the tables can't answer this question"}
-        if a.error:
-            return {"question": question, "answered": False, "sql": a.sql, "reason": a.error}
-        return {"question": question, "answered": True, "sql": a.sql, "attempts": a.attempts, "columns": a.columns, "rows": [list(r) for r in a.rows]}
+            return self._reply(question, "unavailable", message=f"the language model can't be reached: {e}")
+        table = {"columns": found.columns, "rows": [list(r) for r in found.rows]} if found.answered else None
+        message = found.problem or ("the tables don't hold the answer" if found.outcome == "declined" else None)
+        return self._reply(question, found.outcome, message, table, {"sql": found.sql, "drafts": found.drafts})
+
+    @staticmethod
+    def _reply(question: str, status: str, message: str | None = None, table: dict | None = None, query: dict | None = None) -> dict:
+        """One shape for all outcomes: status is answered, declined, failed or unavailable."""
+        return {"question": question, "status": status, "message": message, "table": table, "query": query}
