@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillgrain.functions.columns import money, ratio
+from tillgrain.functions.ordering import accumulated
 from tillgrain.operators.star import is_return, is_sale
 
 SEGMENTS = ["Champions", "Loyal", "Promising", "New", "At risk", "Lost"]
@@ -124,8 +125,12 @@ def later_retention(cohort: DataFrame, offset: int) -> DataFrame:
 
 
 def top_share(rfm: DataFrame, share: float = 0.2) -> DataFrame:
-    ranked = rfm.withColumn("pr", F.percent_rank().over(W.orderBy(F.desc("monetary"))))
-    return ranked.agg(ratio(money(F.when(F.col("pr") < share, F.col("monetary"))), money(F.col("monetary"))).alias("top_share"))
+    """Share of the customers whose percent rank by spend is below ``share``; equal spends have one rank."""
+    spends = rfm.groupBy("monetary").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("monetary").cast("decimal(18,2)")).alias("cash"))
+    ranked = accumulated(spends, [F.desc("monetary")], {"seen": "n"})
+    rows = F.broadcast(rfm.agg(F.count(F.lit(1)).alias("rows")))
+    rank = F.coalesce(ratio(F.col("seen") - F.col("n"), F.col("rows") - 1), F.lit(0.0))
+    return ranked.crossJoin(rows).agg(ratio(F.sum(F.when(rank < share, F.col("cash"))).cast("double"), F.sum("cash").cast("double")).alias("top_share"))
 
 
 def customer_summary(rfm: DataFrame) -> DataFrame:

@@ -178,5 +178,5 @@ def coverage(mart_product: DataFrame, panel: DataFrame) -> DataFrame:
     return covered.crossJoin(total).select("covered", "total", ratio(F.col("covered"), F.col("total")).alias("share"))
 
 
-def weekly_totals(forecasts: DataFrame) -> DataFrame:
-    return forecasts.groupBy("week_start").agg(*[F.round(F.sum(c)).alias(c) for c in ("units", "gbm", "average4", "last_year")])
+def weekly_totals(forecasts: DataFrame, columns: tuple[str, ...] = ("units", "gbm", "average4", "last_year")) -> DataFrame:
+    return forecasts.groupBy("week_start").agg(*[F.round(F.sum(c)).alias(c) for c in columns])

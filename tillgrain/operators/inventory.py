@@ -24,10 +24,17 @@ def demand_sigma(panel: DataFrame, before: Column | None = None) -> DataFrame:
     return sums.groupBy("stock_code").agg(spread(F.col("period")).alias("sigma"))
 
 
-def series(forecasts: DataFrame, column: str) -> DataFrame:
-    """A row a product: weeks in order, each with its demand and forecast. Weeks whose protection period isn't known don't count."""
-    weeks = forecasts.where("units_next IS NOT NULL").groupBy("stock_code").agg(F.sort_array(F.collect_list(F.struct("week_start", "units", F.col(column).alias("forecast")))).alias("weeks"))
-    return weeks.select("stock_code", F.transform("weeks", lambda w: F.struct(w["units"].alias("demand"), w["forecast"].alias("forecast"))).alias("weeks"))
+def series(forecasts: DataFrame, policies: dict[str, str]) -> DataFrame:
+    """A row a product and policy: weeks in order, each with its demand and the policy's forecast. Weeks whose protection period
+    isn't known don't count. All policies are gathered in one pass."""
+    columns = list(policies.values())
+    weeks = forecasts.where("units_next IS NOT NULL").groupBy("stock_code").agg(F.sort_array(F.collect_list(F.struct("week_start", "units", *columns))).alias("weeks"))
+
+    def of(column: str) -> Column:
+        return F.transform("weeks", lambda w: F.struct(w["units"].alias("demand"), w[column].alias("forecast"))).alias("weeks")
+
+    own = [F.struct(F.lit(name).alias("policy"), of(column)) for name, column in policies.items()]
+    return weeks.select("stock_code", F.explode(F.array(*own)).alias("own")).select("stock_code", "own.policy", "own.weeks")
 
 
 def simulate(products: DataFrame, z: DataFrame, lead_time: int = LEAD_TIME) -> DataFrame:
@@ -54,7 +61,7 @@ def simulate(products: DataFrame, z: DataFrame, lead_time: int = LEAD_TIME) -> D
 
     start = F.struct(level(F.get("weeks", F.lit(0))).alias("on_hand"), F.array_repeat(F.lit(0.0), lead_time).alias("due"), *[F.lit(0.0).alias(c) for c in ("served", "stock", "demand")])
     run = products.crossJoin(F.broadcast(z)).withColumn("end", F.aggregate("weeks", start, week))
-    return run.select("stock_code", "z", "price", F.size("weeks").alias("n_weeks"), "end.served", "end.stock", "end.demand")
+    return run.select(*[c for c in products.columns if c not in ("weeks", "sigma")], "z", F.size("weeks").alias("n_weeks"), "end.served", "end.stock", "end.demand")
 
 
 def frontier(simulated: DataFrame, *groups: str) -> DataFrame:
@@ -82,17 +89,13 @@ def run(forecasts: DataFrame, panel: DataFrame, mart_product: DataFrame, policie
     first = forecasts.agg(F.min("week_start").alias("first")).first()["first"]
     sigma = demand_sigma(panel, F.lit(first))
     prices = mart_product.select("stock_code", F.col("median_price").alias("price"))
-    out = None
-    for name, column in (policies or POLICIES).items():
-        products = series(forecasts, column).join(sigma, "stock_code").join(prices, "stock_code")
-        part = frontier(simulate(products, z).withColumn("policy", F.lit(name)), "policy")
-        out = part if out is None else out.unionByName(part)
-    return out
+    products = series(forecasts, policies or POLICIES).join(sigma, "stock_code").join(prices, "stock_code")
+    return frontier(simulate(products, z), "policy")
 
 
-def comparison(points: DataFrame, model: str = "Gradient boosting forecast", baseline: str = "Average of last 4 weeks") -> DataFrame:
+def comparison(points: DataFrame, model: str = "Gradient boosting forecast", baseline: str = "Average of last 4 weeks", targets: list[float] = TARGETS) -> DataFrame:
     """Stock of both policies at each target that both reach."""
-    stock = stock_for_fill_rate(points)
+    stock = stock_for_fill_rate(points, targets)
     pair = stock.groupBy("target").agg(F.max(F.when(F.col("policy") == model, F.col("stock"))).alias("model_stock"), F.max(F.when(F.col("policy") == baseline, F.col("stock"))).alias("baseline_stock"))
     return pair.where("model_stock IS NOT NULL AND baseline_stock IS NOT NULL").withColumn("stock_reduction", 1 - ratio(F.col("model_stock"), F.col("baseline_stock")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillgrain.functions.columns import money, month_of, months_between, week_of
+from tillgrain.functions.ordering import numbered, tile
 from tillgrain.operators.star import is_return, is_sale
 
 
@@ -66,10 +67,14 @@ def customer_rfm(fact: DataFrame) -> DataFrame:
         .select("customer_id", F.datediff("end", "last").cast("long").alias("recency_days"), "frequency", "monetary")
     )
 
-    def fifth(c: str) -> Column:
-        return F.ntile(5).over(W.orderBy(c, "customer_id")).cast("long")
-
-    scored = base.select("*", (6 - fifth("recency_days")).alias("r"), fifth("frequency").alias("f"), fifth("monetary").alias("m"))
+    scored, fifths = base, []
+    for score, measure in (("r", "recency_days"), ("f", "frequency"), ("m", "monetary")):
+        scored = numbered(scored, [measure, "customer_id"], score)
+    rows = scored.count()
+    for score in ("r", "f", "m"):
+        fifth = tile(F.col(score), rows, 5)
+        fifths.append((6 - fifth if score == "r" else fifth).alias(score))
+    scored = scored.select("customer_id", "recency_days", "frequency", "monetary", *fifths)
     r, value = F.col("r"), F.col("f") + F.col("m")
     segment = (
         F.when((r >= 4) & (value >= 8), "Champions")

@@ -33,9 +33,12 @@ def similarity(frame: DataFrame, min_orders: int = MIN_ITEM_ORDERS) -> DataFrame
     items = item_counts(frame, min_orders)
     kept = frame.select("invoice", "stock_code").distinct().join(items, "stock_code")
     other = kept.select("invoice", F.col("stock_code").alias("neighbour"), F.col("item_orders").alias("neighbour_orders"))
-    pairs = kept.join(other, "invoice").where("stock_code <> neighbour")
+    # each pair is counted once, then told to both
+    pairs = kept.join(other, "invoice").where("stock_code < neighbour")
     together = pairs.groupBy("stock_code", "neighbour").agg(F.count(F.lit(1)).alias("orders_together"), F.first("item_orders").alias("a"), F.first("neighbour_orders").alias("b"))
-    return together.select("stock_code", "neighbour", "orders_together", (F.col("orders_together") / F.sqrt(F.col("a") * F.col("b"))).alias("similarity"))
+    both = F.explode(F.array(F.struct(F.col("stock_code").alias("x"), F.col("neighbour").alias("y")), F.struct(F.col("neighbour").alias("x"), F.col("stock_code").alias("y"))))
+    told = together.select(both.alias("pair"), "orders_together", (F.col("orders_together") / F.sqrt(F.col("a") * F.col("b"))).alias("similarity"))
+    return told.select(F.col("pair.x").alias("stock_code"), F.col("pair.y").alias("neighbour"), "orders_together", "similarity")
 
 
 def neighbours(pairs: DataFrame, top: int = NEIGHBOURS) -> DataFrame:
@@ -64,12 +67,12 @@ def ranks(pairs: DataFrame, items: DataFrame, dealt: DataFrame) -> DataFrame:
     """For each basket, how many items outrank the hidden one: by similarity to the rest of the basket, and by popularity."""
     dealt = stored(dealt)
     shown = dealt.where("NOT hidden").select("invoice", "stock_code")
-    hidden = dealt.where("hidden").select("invoice", F.col("stock_code").alias("hidden_code"))
-    scores = shown.join(pairs, "stock_code").groupBy("invoice", "neighbour").agg(F.round(F.sum("similarity"), 9).alias("score"))
-    # read twice below: written once, as it holds a row for each basket and candidate
-    open_ = stored(scores.join(shown.withColumnRenamed("stock_code", "neighbour"), ["invoice", "neighbour"], "left_anti"))
-    own = hidden.join(open_, (open_.invoice == hidden.invoice) & (open_.neighbour == hidden.hidden_code), "left").select(hidden.invoice, "hidden_code", F.coalesce("score", F.lit(0.0)).alias("own"))
-    above = own.join(open_.select("invoice", "score"), "invoice", "left").groupBy("invoice", "hidden_code").agg(F.count(F.when(F.col("score") > F.col("own"), 1)).alias("by_similarity"))
+    # candidates beside the basket's own items, dealt by basket once: sums, the hidden item's score and the count need no more
+    candidates = shown.join(pairs, "stock_code").select("invoice", F.col("neighbour").alias("item"), "similarity", F.lit(False).alias("is_shown"), F.lit(False).alias("is_hidden"))
+    own_items = dealt.select("invoice", F.col("stock_code").alias("item"), F.lit(0.0).alias("similarity"), (~F.col("hidden")).alias("is_shown"), F.col("hidden").alias("is_hidden"))
+    scores = candidates.unionByName(own_items).repartition("invoice").groupBy("invoice", "item").agg(F.round(F.sum("similarity"), 9).alias("score"), F.max("is_shown").alias("is_shown"), F.max("is_hidden").alias("is_hidden"))
+    own_score = F.max(F.when(F.col("is_hidden"), F.col("score"))).over(W.partitionBy("invoice"))
+    above = scores.withColumn("own", own_score).groupBy("invoice").agg(F.count(F.when(~F.col("is_shown") & (F.col("score") > F.col("own")), 1)).alias("by_similarity"), F.max(F.when(F.col("is_hidden"), F.col("item"))).alias("hidden_code"))
     # popularity is one list for all: items above the hidden one, less those that the basket shows
     better = items.select("stock_code", F.col("item_orders").alias("orders"), (F.rank().over(W.orderBy(F.desc("item_orders"))) - 1).cast("long").alias("better"))
     fame = above.join(better.select(F.col("stock_code").alias("hidden_code"), F.col("orders").alias("own_orders"), "better"), "hidden_code")

@@ -139,7 +139,7 @@ WITH t AS ({_AT}), s AS (SELECT 'most recent buyers first' AS model, CAST(-recen
 g AS (SELECT model, s, sum(y) AS pos, count(*) AS n FROM s GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY model ORDER BY s DESC) AS seen FROM g),
 a AS (SELECT model, CAST(sum((n - pos) * (2 * tp - pos)) AS DOUBLE) AS above, sum(CAST(tp AS DOUBLE) / seen * pos) AS precise, CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n FROM c GROUP BY model),
 d AS (SELECT model, CAST(sum(y) AS DOUBLE) / count(*) AS top FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY s DESC, customer_id) AS pos, count(*) OVER (PARTITION BY model) AS n FROM s) WHERE pos <= greatest(1, n // 10) GROUP BY model)
-SELECT model, above / (2 * p * (n - p)) AS roc_auc, top AS top_decile_rate, top / (p / n) AS top_decile_lift FROM a JOIN d USING (model)"""
+SELECT model, above / (2 * p * (n - p)) AS roc_auc, round(precise / p, 9) AS average_precision, top AS top_decile_rate, top / (p / n) AS top_decile_lift FROM a JOIN d USING (model)"""
 
 
 def _frontier(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,9 +151,49 @@ def _frontier(spark: SparkSession, folder: str) -> DataFrame:
 def _baseline_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     models = {k: v for k, v in forecasting.MODELS.items() if k != "Gradient boosting"}
     base = forecasting.baselines(forecasting.product_features(panel(spark, folder)))
-    return forecasting.accuracy(base, models).drop("median_product_wape")
+    return forecasting.accuracy(base, models).withColumn("median_product_wape", F.round("median_product_wape", 9))
 
 
+TARGETS, BASELINES = [0.5, 0.7, 0.9], {"Average of last 4 weeks": "average4_next", "Last week": "last_week_next"}
+
+
+def _simple(spark: SparkSession, folder: str) -> DataFrame:
+    """The forecasts that need no model, over the backtest's test weeks."""
+    until = warehouse(spark, folder).mart_product_weekly.agg(F.max("week_start").alias("last"))
+    grid = panel(spark, folder).crossJoin(F.broadcast(until)).where("week_start < last").drop("last")
+    first = F.broadcast(grid.agg(F.date_sub(F.max("week_start"), 7 * (forecasting.TEST_WEEKS - 1)).alias("first")))
+    return forecasting.baselines(forecasting.product_features(grid)).crossJoin(first).where("week_start >= first").drop("first")
+
+
+def _simple_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    key = spark.sparkContext.applicationId, folder, "frontier"
+    if key not in _MORE:
+        _MORE[key] = stored(inventory.run(stored(_simple(spark, folder)), panel(spark, folder), warehouse(spark, folder).mart_product, BASELINES))
+    return _MORE[key]
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+_Z = ", ".join(f"({z})" for z in inventory.Z_VALUES)
+#: The policy week by week: b is what is at hand before sales, d1 and d2 what comes in one and two weeks.
+_SIMPLE = """
+grid AS (SELECT *, lag(units, 1) {o} AS lag1, lag(units, 52) {o} AS lag52, {m} AS mean4, units + lead(units, 1) {o} + lead(units, 2) {o} AS units_next FROM panel WHERE week_start < (SELECT max(week_start) FROM mart_product_weekly)),
+test AS (SELECT * FROM grid WHERE week_start >= (SELECT max(week_start) FROM grid) - {days}),
+sigmas AS (SELECT stock_code, CASE WHEN count(x) >= 2 THEN sqrt((count(x) * sum(x * x) - sum(x) * sum(x)) / (count(x) * (count(x) - 1))) END AS sigma FROM (SELECT stock_code, CASE WHEN count(units) OVER w = 3 THEN sum(units) OVER w END AS x FROM panel WHERE week_start < (SELECT min(week_start) FROM test) WINDOW w AS (PARTITION BY stock_code ORDER BY week_start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) GROUP BY 1),
+plans AS (SELECT 'Average of last 4 weeks' AS policy, stock_code, week_start, units, mean4 * 3 AS f FROM test WHERE units_next IS NOT NULL UNION ALL SELECT 'Last week', stock_code, week_start, units, lag1 * 3 FROM test WHERE units_next IS NOT NULL),
+levels AS (SELECT policy, stock_code, z, units, greatest(f + z * sigma, 0.0) AS level, row_number() OVER (PARTITION BY policy, stock_code, z ORDER BY week_start) AS k FROM plans JOIN sigmas USING (stock_code) CROSS JOIN (VALUES {z}) v(z)),
+runs AS (SELECT policy, stock_code, z, 1 AS k, CAST(level AS DOUBLE) AS b, 0.0::DOUBLE AS d1, greatest(level - CAST(level AS DOUBLE), 0.0)::DOUBLE AS d2, units FROM levels WHERE k = 1
+    UNION ALL SELECT r.policy, r.stock_code, r.z, r.k + 1, r.b - least(r.b, r.units) + r.d1, r.d2, greatest(l.level - (r.b - least(r.b, r.units) + r.d1 + r.d2), 0.0), l.units FROM runs r JOIN levels l ON l.policy = r.policy AND l.stock_code = r.stock_code AND l.z = r.z AND l.k = r.k + 1),
+ends AS (SELECT policy, stock_code, z, count(*) AS weeks, sum(least(b, units)) AS served, sum(b - least(b, units)) AS stock, sum(units) AS demand FROM runs GROUP BY ALL),
+points AS (SELECT policy, CAST(z AS DOUBLE) AS z, sum(served * median_price) / nullif(sum(demand * median_price), 0) AS fill_rate, sum(stock / weeks * median_price) AS average_stock_value FROM ends JOIN mart_product USING (stock_code) GROUP BY 1, 2)""".format(o=_O, m=_mean("units", 4), days=7 * (forecasting.TEST_WEEKS - 1), z=_Z)
+_SIMPLE_STOCK = f"""
+steps AS (SELECT policy, fill_rate AS hi, average_stock_value AS hi_stock, lag(fill_rate) OVER w AS lo, lag(average_stock_value) OVER w AS lo_stock FROM points WINDOW w AS (PARTITION BY policy ORDER BY fill_rate, average_stock_value)),
+goals AS (SELECT * FROM (SELECT DISTINCT policy FROM points) CROSS JOIN (VALUES {", ".join(f"({t})" for t in TARGETS)}) v(target)),
+stocks AS (SELECT g.policy, CAST(g.target AS DOUBLE) AS target, min(CASE WHEN g.target = hi THEN hi_stock ELSE lo_stock + (g.target - lo) / nullif(hi - lo, 0) * (hi_stock - lo_stock) END) AS stock
+    FROM goals g LEFT JOIN steps s ON s.policy = g.policy AND (g.target = hi OR (g.target <= hi AND g.target > lo)) GROUP BY 1, 2)"""
+
 _P = "SELECT *, lag(units, 1) {o} AS lag1, lag(units, 52) {o} AS lag52, {m} AS mean4, lag(units, 52) {o} + lag(units, 51) {o} + lag(units, 50) {o} AS lyn, units + lead(units, 1) {o} + lead(units, 2) {o} AS units_next FROM panel".replace("{o}", _O).replace("{m}", _mean("units", 4))
 
 
@@ -161,7 +201,8 @@ def _err(name: str, one: str, period: str) -> str:
     def rate(num: str, f: str, a: str) -> str:
         return f"sum(CASE WHEN {a} IS NOT NULL AND {f} IS NOT NULL THEN {num} END) / nullif(sum(CASE WHEN {f} IS NOT NULL THEN {a} END), 0)"
 
-    return f"SELECT '{name}' AS model, {rate(f'abs({one} - units)', one, 'units')} AS wape, {rate(f'{one} - units', one, 'units')} AS bias, {rate(f'abs({period} - units_next)', period, 'units_next')} AS wape_next, {rate(f'{period} - units_next', period, 'units_next')} AS bias_next FROM p"
+    each = f"SELECT round(median(w), 9) FROM (SELECT sum(abs({one} - units)) / greatest(sum(units), 1.0) AS w FROM p WHERE units IS NOT NULL AND {one} IS NOT NULL GROUP BY stock_code)"
+    return f"SELECT '{name}' AS model, ({each}) AS median_product_wape, {rate(f'abs({one} - units)', one, 'units')} AS wape, {rate(f'{one} - units', one, 'units')} AS bias, {rate(f'abs({period} - units_next)', period, 'units_next')} AS wape_next, {rate(f'{period} - units_next', period, 'units_next')} AS bias_next FROM p"
 
 
 _HELD = f"""
@@ -195,8 +236,15 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def _models(spark: SparkSession, folder: str) -> DataFrame:
     summary, _ = _customer_model(spark, folder)
-    rows = [(r["model"], r["roc_auc"], r["average_precision"], r["top_decile_lift"]) for r in summary["models"]]
-    return spark.createDataFrame(rows, "model string, roc_auc double, average_precision double, top_decile_lift double")
+    names = ["model", "roc_auc", "average_precision", "top_decile_rate", "top_decile_lift", "brier"]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in summary["models"]], "model string, " + ", ".join(f"{n} double" for n in names[1:]))
+
+
+def _importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the boosted trees, for customers of the later cut-off."""
+    fact = warehouse(spark, folder).fact_sales
+    train, test = (stored(customers.prepared(customers.features_at(fact, [day]))) for day in (CUTOFF, LATER))
+    return customers.importance(customers.models()["Gradient boosting"].fit(train), test)
 
 
 _BASKET = ", ".join(f"'{c}'" for c in BASKET)
@@ -278,11 +326,16 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         _of(lambda w: analytics.top_share(w.mart_customer_rfm)),
         "SELECT CAST(sum(v) FILTER (WHERE pr < 0.2) AS DOUBLE) / CAST(sum(v) AS DOUBLE) AS top_share FROM (SELECT CAST(monetary AS DECIMAL(18, 2)) AS v, percent_rank() OVER (ORDER BY monetary DESC) AS pr FROM mart_customer_rfm)",
     ),
+    "later_retention": (
+        _of(lambda w: _rounded(analytics.later_retention(w.mart_cohort, 1), retention=12)),
+        "SELECT round(avg(CAST(c.customers AS DOUBLE) / size), 12) AS retention, count(*) AS cohorts FROM mart_cohort c JOIN (SELECT cohort, customers AS size FROM mart_cohort WHERE month_offset = 0) USING (cohort) WHERE month_offset = 1 AND cohort > (SELECT min(cohort) FROM mart_cohort)",
+    ),
     # customer features and rankings
     "customer_features": (_of(lambda w: customers.features_at(w.fact_sales, [CUTOFF, LATER])), _FEATURES_AT.replace("{cutoffs}", f"({_cut(CUTOFF)}), ({_cut(LATER)})")),
     "customer_labels": (_of(lambda w: customers.features_at(w.fact_sales, [LATER]).groupBy("cutoff", "will_order").agg(F.count(F.lit(1)).alias("customers"))), f"SELECT cutoff, will_order, count(*) AS customers FROM ({_AT}) GROUP BY 1, 2"),
-    "recency_frequency_baseline_auc": (_of(lambda w: customers.baseline_metrics(customers.features_at(w.fact_sales, [LATER])).drop("average_precision")), _RANKED),
+    "recency_frequency_baseline_auc": (_of(lambda w: _rounded(customers.baseline_metrics(customers.features_at(w.fact_sales, [LATER])), average_precision=9)), _RANKED),
     "customer_models": (_models, None),
+    "customer_importance": (_importance, None),
     "customer_scores": (_scores, None),
     # weekly demand
     "weekly_panel": (panel, "SELECT * FROM panel"),
@@ -326,6 +379,25 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     ),
     "inventory_frontier": (_frontier, None),
     "stock_for_fill_rate": (lambda spark, folder: inventory.stock_for_fill_rate(_frontier(spark, folder), [0.5, 0.9, 0.95]), None),
+    "baseline_frontier": (lambda spark, folder: _rounded(_simple_frontier(spark, folder), fill_rate=9, average_stock_value=4), f"WITH RECURSIVE {_SIMPLE} SELECT policy, z, round(fill_rate, 9) AS fill_rate, round(average_stock_value, 4) AS average_stock_value FROM points"),
+    "baseline_stock_for_fill_rate": (lambda spark, folder: _rounded(inventory.stock_for_fill_rate(_simple_frontier(spark, folder), TARGETS), stock=3), f"WITH RECURSIVE {_SIMPLE}, {_SIMPLE_STOCK} SELECT policy, target, round(stock, 3) AS stock FROM stocks"),
+    "baseline_same_z": (
+        lambda spark, folder: _rounded(inventory.same_z(_simple_frontier(spark, folder), "Last week"), model_fill=9, baseline_fill=9, model_stock=4, baseline_stock=4),
+        f"""WITH RECURSIVE {_SIMPLE} SELECT z, round(m.fill_rate, 9) AS model_fill, round(b.fill_rate, 9) AS baseline_fill, round(m.average_stock_value, 4) AS model_stock, round(b.average_stock_value, 4) AS baseline_stock
+        FROM (SELECT * FROM points WHERE policy = 'Last week') m JOIN (SELECT * FROM points WHERE policy <> 'Last week') b USING (z)""",
+    ),
+    "baseline_comparison": (
+        lambda spark, folder: _rounded(inventory.comparison(_simple_frontier(spark, folder), "Last week", targets=TARGETS), model_stock=3, baseline_stock=3, stock_reduction=6),
+        f"""WITH RECURSIVE {_SIMPLE}, {_SIMPLE_STOCK} SELECT target, round(m.stock, 3) AS model_stock, round(b.stock, 3) AS baseline_stock, round(1 - m.stock / nullif(b.stock, 0), 6) AS stock_reduction
+        FROM (SELECT * FROM stocks WHERE policy = 'Last week') m JOIN (SELECT * FROM stocks WHERE policy <> 'Last week') b USING (target) WHERE m.stock IS NOT NULL AND b.stock IS NOT NULL""",
+    ),
+    "same_z": (lambda spark, folder: inventory.same_z(_frontier(spark, folder)), None),
+    "stock_comparison": (lambda spark, folder: inventory.comparison(_frontier(spark, folder)), None),
+    "weekly_totals": (lambda spark, folder: forecasting.weekly_totals(_modelled(spark, folder)), None),
+    "baseline_weekly_totals": (
+        lambda spark, folder: forecasting.weekly_totals(_simple(spark, folder), ("units", "average4", "last_year")),
+        f"WITH {_SIMPLE[: _SIMPLE.index(',' + chr(10) + 'sigmas')]} SELECT week_start, round(sum(units)) AS units, round(sum(mean4)) AS average4, round(sum(lag52)) AS last_year FROM test GROUP BY 1",
+    ),
     # baskets
     "basket_sizes": (_of(lambda w: recommender.baskets(w.mart_basket)), "SELECT * FROM basket_sizes"),
     "item_similarity": (lambda spark, folder: pairs(spark, folder), "SELECT * FROM pairs"),
@@ -336,9 +408,9 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     ),
     "holdout_ranks": (_held_ranks, _HELD),
     "holdout_hit_rate": (
-        lambda spark, folder: recommender.hit_rates(_held_ranks(spark, folder)).drop("mean_reciprocal_rank"),
+        lambda spark, folder: _rounded(recommender.hit_rates(_held_ranks(spark, folder)), mean_reciprocal_rank=9),
         f"WITH r AS ({_HELD}) "
-        + " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS test_baskets, CAST(count(*) FILTER (WHERE {c} < 5) AS DOUBLE) / count(*) AS hit_rate_at_5, CAST(count(*) FILTER (WHERE {c} < 10) AS DOUBLE) / count(*) AS hit_rate_at_10 FROM r" for m, c in (("item similarity", "by_similarity"), ("best sellers", "by_popularity"))),
+        + " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS test_baskets, CAST(count(*) FILTER (WHERE {c} < 5) AS DOUBLE) / count(*) AS hit_rate_at_5, CAST(count(*) FILTER (WHERE {c} < 10) AS DOUBLE) / count(*) AS hit_rate_at_10, round(avg(1.0 / ({c} + 1)), 9) AS mean_reciprocal_rank FROM r" for m, c in (("item similarity", "by_similarity"), ("best sellers", "by_popularity"))),
     ),
     # layers
     "bronze_batches": (_of(lambda w: lakehouse.batches(w.raw_lines)), "SELECT sheet AS batch, count(*) AS rows FROM raw_lines GROUP BY 1"),
