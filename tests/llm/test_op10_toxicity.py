@@ -89,3 +89,32 @@ def test_query(spark, folder):
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert got.where("predicted <> int(score >= 0.3)").count() == 0
     assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_long_texts_and_hot_keys_in_training(spark, frame, rng):
+    rows, labels = corpus(rng, 400)
+    # only long texts hold this word; one labelled key has very many rows
+    rows += [(1000 + i, words(rng, 10_000, 800) + (" lurgh" if i % 2 else ""), "en", "s") for i in range(40)]
+    labels += [(1000 + i, i % 2) for i in range(40)]
+    hot = frame([(0, "same text again", "en", "s")]).crossJoin(spark.range(100_000)).drop("id")
+    label = spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.train(frame(rows).union(hot), label)
+    bucket = int(toxicity._buckets(next(kernel.slices(pa.array(["lurgh"]))))[0][0])
+    assert bucket in set(net.known.tolist())
+    few = toxicity.train(frame(rows), label, max_words=50_000)
+    assert len(few.known) < len(net.known)
+
+
+def test_wide_filters_learn_word_order(spark, frame, rng):
+    """Texts of the same words, toxic by the order of two of them: what single words can't tell."""
+    rows, labels = [], []
+    for i in range(1200):
+        w, toxic = words(rng, 12, 40).split(), i % 2
+        at = rng.randrange(len(w))
+        w[at:at] = ["red", "fish"] if toxic else ["fish", "red"]
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, toxic))
+    net = toxicity.train(frame(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), where=toxicity.F.col("k") % 3 != 0)
+    got = {r.doc_id: r.score for r in toxicity.score(frame(rows), net).collect()}
+    held = [i for i in range(1200) if i % 3 == 0]
+    assert sum((got[i] >= toxicity.CUT) == bool(labels[i][1]) for i in held) / len(held) > 0.8

@@ -52,8 +52,7 @@ def corpus(seed, groups=12, pool=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("n,num,seed", [(3, 90, 1), (5, 80, 2), (3, 80, 3)])
-@pytest.mark.parametrize("way", ["plain", "dealt", "hot"])
+@pytest.mark.parametrize("n,num,seed,way", [(3, 90, 1, "plain"), (5, 80, 2, "plain"), (3, 80, 3, "dealt"), (5, 80, 2, "hot")])
 def test_components_by_brute_force(spark, frame, monkeypatch, n, num, seed, way):
     if way == "dealt":  # all cells are dealt until they are tiny
         monkeypatch.setattr(jaccard, "LOCAL_NODES", 3)

@@ -35,6 +35,28 @@ def test_laws_hold_with_a_hot_group(spark, frame, rng):
     held(out, 8)
 
 
+def test_splitters_are_quantiles_by_size(spark, frame, rng):
+    rows = [(i, words(rng, rng.randrange(1, 80)), "en", "s") for i in range(3000)]
+    text = sharding.F.col("text")
+    keyed = frame(rows).select(sharding.F.col("doc_id").alias("k"), sharding.group_of(text).alias("g"), sharding.size_of(text).alias("size"))
+    plan = sharding.make_plan(keyed, 6)
+    groups = Counter()
+    for r in keyed.collect():
+        groups[r.g] += r["size"]
+    at, total, order = 0, sum(groups.values()), sorted(groups)
+    assert plan.splitters == sorted(set(plan.splitters)) and len(plan.splitters) == 6 * sharding.SPLITS - 1
+    for i, cut in enumerate(plan.splitters, 1):  # all rows are drawn here, so the cuts are near the quantiles by size
+        below = sum(groups[g] for g in order if g < cut)
+        assert abs(below / total - i / (6 * sharding.SPLITS)) < 0.05
+    assert plan.before == [sum(groups[g] for g in order if sum(c <= g for c in plan.splitters) < r) for r in range(len(plan.splitters) + 1)]
+
+
+def test_clashing_outputs_lose(spark, frame):
+    df = frame([(i, str(i)) for i in range(9)]).selectExpr("*", "'mine' AS shard", "'mine' AS Slot", "'mine' AS g")
+    out = sharding.assign(df, 2)
+    assert out.columns.count("shard") == 1 and dict(out.dtypes)["shard"] == "int" and {r.g for r in out.collect()} == {"mine"}
+
+
 def test_odd_rows(spark, frame, odd):
     out = sharding.assign(frame(odd), 3).collect()
     assert len(out) == len(odd) and Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in odd)

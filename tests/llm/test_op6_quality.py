@@ -55,3 +55,19 @@ def test_labels_teach_it(spark, folder):
     right = [r.kept == (r.quality == 1) for r in got]
     assert sum(right) / len(right) > 0.9
     assert op6.query(spark, folder).columns[:9] == ["doc_id", *quality.COUNTS, "base_failed", "score", "kept"]
+
+
+def test_flat_trees_by_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 4))
+    forest = trees.fit(x, (x[:, 0] + x[:, 2] > 1).astype(float), np.array([0, 0, 0, 0]))
+    probe = rng.random((50, 4))
+
+    def walk(tree, row, node=0):
+        inner = len(forest.feature[tree])
+        if node >= inner:
+            return forest.value[tree][node - inner]
+        right = row[forest.feature[tree][node]] > forest.threshold[tree][node]
+        return walk(tree, row, 2 * node + (2 if right else 1))
+
+    assert np.allclose(forest.margin(probe), [forest.base + sum(walk(t, r) for t in range(len(forest.feature))) for r in probe])

@@ -1,8 +1,8 @@
 import numpy as np
-
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tillgrain.llm import language
+from tillgrain.llm import kernel, language
 from tillgrain.llm.queries import op8
 
 
@@ -42,3 +42,50 @@ def test_long_and_short_texts_use_all_of_themselves(spark, frame):
     model = language.train(frame([(i, texts[l] * 3 + texts[l][i % 5 :], l) for i, l in enumerate(list(texts) * 30)]))
     got = {r.doc_id: r.lang_pred for r in language.identify(frame([(1, texts["de"] * 10 + texts["en"] * 40_000), (2, texts["en"] * 10 + texts["de"] * 40_000)]), model).collect()}
     assert got == {1: "en", 2: "de"}
+
+
+def plain_grams(text):
+    """Byte n-grams by a plain loop: their buckets and counts."""
+    data = bytes(language._FOLD[b] for b in text.encode())
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for c in data[i : i + n]:
+                code = (code * 257 + c + 1) % 2**32
+            h = (code + n * 0x51ED27) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+            bucket = (h * 0x85EBCA6B % 2**32) >> 19
+            out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def test_counts_margins_and_decoding_by_plain_loops():
+    rng = np.random.default_rng(8)
+    texts = ["Der Hund", "", "x", "çà et là 12 !", "the cat sat on the mat"]
+    part = next(kernel.slices(pa.array(texts)))
+    counts = language.gram_counts(part)
+    for row, text in zip(counts, texts, strict=True):
+        assert {int(i): int(row[i]) for i in np.flatnonzero(row)} == plain_grams(text)
+    model = language.Model(["a", "b", "c", "d"])
+    bits = model.code.shape[1]
+    model.weights, model.bias, model.trust = rng.standard_normal((language.BUCKETS, bits)).astype(np.float32), rng.standard_normal(bits), rng.random(bits)
+    margins = model.margins(part)
+    best, score = model.decode(margins)
+    for i, text in enumerate(texts):
+        grams = plain_grams(text)
+        total = sum(grams.values())
+        want = (sum(n * model.weights[b].astype(float) for b, n in grams.items()) / max(1, total) + model.bias) * total / (total + language.FAINT)
+        assert np.abs(margins[i] - want).max() < 1e-4
+        losses = [sum(model.trust[k] * np.log1p(np.exp(-want[k] * word[k])) for k in range(bits)) for word in model.code]
+        assert best[i] == int(np.argmin(losses))
+        assert abs(score[i] - np.exp(-min(losses)) / sum(np.exp(-x) for x in losses)) < 1e-4
+
+
+def test_repeated_rows_count_once_in_the_sample(spark, frame):
+    texts = {"de": "der die das und nicht ist auch ein", "en": "the and of that with this from have"}
+    rows = [(i, f"{texts[l]} {i}", l) for i, l in enumerate(list(texts) * 40)]
+    hot = frame([(999, "zzz zzz", "de")]).crossJoin(spark.range(20_000)).drop("id")
+    a, b = (language.train(d, max_train=60) for d in (frame(rows).union(hot), frame(rows).union(hot).repartition(5)))
+    assert np.array_equal(a.weights, b.weights)
+    assert {r.lang_pred for r in language.identify(frame([(1, "das und ist")]), a).collect()} == {"de"}

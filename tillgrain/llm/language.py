@@ -165,15 +165,15 @@ def train(docs: DataFrame, *, where: Column | None = None, max_train: int = MAX_
     """Fit on documents with a known language, of those that ``where`` admits."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = (known if where is None else known.where(where)).select(F.col(doc_key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.withColumn("lot", F.xxhash64("k", "t", F.lit(3)))  # equal rows have one lot
+    sizes = {r.lang: r["count"] for r in known.select("lang", "lot").distinct().groupBy("lang").count().collect()}
     if not sizes:
         return Model([])
     quota = max(1, max_train // len(sizes))
-    # twice a language's quota by the size of a hash, then exactly the smallest of these; equal rows have one lot
+    # twice a language's quota by the size of a hash, then exactly the smallest of these
     spark = docs.sparkSession
     rates = spark.createDataFrame([(name, int(min(1.0, 2 * quota / n) * (1 << 30))) for name, n in sizes.items()], "lang string, rate long")
-    lot = F.xxhash64("k", "t", F.lit(3))
-    picked = known.withColumn("lot", lot).join(F.broadcast(rates), "lang").where(F.pmod(F.shiftrightunsigned("lot", 20), F.lit(1 << 30)) < F.col("rate")).select("lang", "lot", "t")
+    picked = known.join(F.broadcast(rates), "lang").where(F.pmod(F.shiftrightunsigned("lot", 20), F.lit(1 << 30)) < F.col("rate")).select("lang", "lot", "t")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ small aggregations, none of which needs a group in one task:
    by piece (an overfull range is subdivided), any other keeps to one shard. The largest go first, each to
    the shard with the most room.
 2. Of the other, light groups, a sample of keys is drawn with chances in proportion to size; its quantiles
-   are the splitters of ``shards * 16`` ranges. Rows are counted by range.
+   are the splitters of ``shards * 16`` ranges, or of one for each ``RANGE_BYTES``. Rows are counted by range.
 3. Ranges fill the shards' remaining room in order. A range that straddles a boundary is subdivided where
    the running bytes inside it reach the boundary, between two groups.
 
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 FINE = 64
 SPLITS = 16
 SAMPLE = 16_384
+#: Ranges follow the bytes, up to a number that a plan can hold
+RANGE_BYTES, MOST_RANGES = 1 << 28, 1 << 14
 
 
 def size_of(text: Column) -> Column:
@@ -58,13 +60,6 @@ class Plan:
     first: dict[tuple[int, int], int] = field(default_factory=dict)
 
 
-def _lookup(entries: dict, key: Column, kind: str) -> Column:
-    """A literal map as a column: entries are as many as the plan has, never as many as rows."""
-    if not entries:
-        return F.lit(None).cast(kind)
-    return F.element_at(F.map_from_arrays(F.lit(list(entries)), F.lit(list(entries.values()))), key).cast(kind)
-
-
 def _range_of(splitters: list[int], value: Column) -> Column:
     """How many splitters are at most value: in two steps, a coarse list and the slice of the fine one below it."""
     if not splitters:
@@ -76,9 +71,12 @@ def _range_of(splitters: list[int], value: Column) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inner)
 
 
-def _pieces(plan: Plan, group: Column, key: Column) -> Column:
-    """Null for light groups."""
-    return F.pmod(F.xxhash64(key, F.lit(29)), _lookup(plan.pieces, group, "long")).cast("int")
+def _with_piece(keyed: DataFrame, plan: Plan) -> DataFrame:
+    """Adds piece: null for light groups. Heavy groups are at most shards * FINE, and so is what is broadcast."""
+    if not plan.pieces:
+        return keyed.withColumn("piece", F.lit(None).cast("int"))
+    heavy = F.broadcast(keyed.sparkSession.createDataFrame(list(plan.pieces.items()), "g long, pieces long"))
+    return keyed.join(heavy, "g", "left").withColumn("piece", F.pmod(F.xxhash64("k", F.lit(29)), F.col("pieces")).cast("int")).drop("pieces")
 
 
 def make_plan(keyed: DataFrame, shards: int) -> Plan:
@@ -92,7 +90,7 @@ def make_plan(keyed: DataFrame, shards: int) -> Plan:
     plan.pieces = {g: max(1, int(-(-b * FINE // share))) for g, b in heavy.items()}
     room = [share] * shards
     if heavy:
-        sizes = keyed.withColumn("piece", _pieces(plan, F.col("g"), F.col("k"))).where("piece IS NOT NULL").groupBy("g", "piece").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+        sizes = _with_piece(keyed, plan).where("piece IS NOT NULL").groupBy("g", "piece").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
         by_group: dict[int, list[tuple[int, int, int]]] = {}
         for r in sorted(sizes.collect(), key=lambda r: (r.g, r.piece)):
             by_group.setdefault(r.g, []).append((r.piece, r.b, r.n))
@@ -106,13 +104,13 @@ def make_plan(keyed: DataFrame, shards: int) -> Plan:
                 room[shard] -= b
     else:
         slots = [0] * shards
-    light = keyed.withColumn("piece", _pieces(plan, F.col("g"), F.col("k"))).where("piece IS NULL")
+    light = _with_piece(keyed, plan).where("piece IS NULL")
     left = total - sum(heavy.values())
     if left:
         # a row is drawn with a chance in proportion to its size: SAMPLE of them in all, give or take a few hundred
-        chance = F.least(F.lit(1.0), F.col("size") * (SAMPLE / left))
+        ranges = max(shards * SPLITS, min(MOST_RANGES, left // RANGE_BYTES))
+        chance = F.least(F.lit(1.0), F.col("size") * (max(SAMPLE, 64 * ranges) / left))
         drawn = sorted(r.g for r in light.where((F.pmod(F.xxhash64("g", "k", F.lit(31)), F.lit(1 << 30)) / (1 << 30)) < chance).select("g").collect())
-        ranges = shards * SPLITS
         plan.splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)} if drawn else set())
         counts = light.withColumn("r", _range_of(plan.splitters, F.col("g"))).groupBy("r").agg(F.sum("size").alias("b"))
         by_range = {r.r: r.b for r in counts.collect()}
@@ -147,10 +145,7 @@ def _placed(light: DataFrame, plan: Plan) -> DataFrame:
 
 def place(keyed: DataFrame, plan: Plan) -> DataFrame:
     """Adds shard (int) and slot (long) to rows with k, g, size; other columns ride along."""
-    marked = keyed.withColumn("piece", _pieces(plan, F.col("g"), F.col("k")))
-    code = F.concat_ws(":", F.col("g"), F.col("piece"))
-    where = {f"{g}:{piece}": shard for (g, piece), (shard, _) in plan.placed.items()}
-    start = {f"{g}:{piece}": slot for (g, piece), (_, slot) in plan.placed.items()}
+    marked = _with_piece(keyed, plan)
     light = _placed(marked.where("piece IS NULL"), plan)
     within = F.row_number().over(W.partitionBy("r", "shard").orderBy("g", "k"))
     starts = [plan.first.get((r, s), 0) for r in range(len(plan.splitters) + 1) for s in range(plan.shards)]
@@ -158,16 +153,16 @@ def place(keyed: DataFrame, plan: Plan) -> DataFrame:
     out = light.withColumn("slot", within - 1 + first).drop("r", "piece")
     if not plan.placed:
         return out
-    heavy = marked.where("piece IS NOT NULL").withColumn("shard", _lookup(where, code, "int"))
+    homes = F.broadcast(keyed.sparkSession.createDataFrame([(g, piece, shard, slot) for (g, piece), (shard, slot) in plan.placed.items()], "g long, piece int, shard int, start long"))
     in_piece = F.row_number().over(W.partitionBy("g", "piece").orderBy("k"))
-    heavy = heavy.withColumn("slot", in_piece - 1 + _lookup(start, code, "long")).drop("piece")
+    heavy = marked.where("piece IS NOT NULL").withColumn("within", in_piece).join(homes, ["g", "piece"]).withColumn("slot", F.col("within") - 1 + F.col("start")).drop("piece", "within", "start")
     return out.unionByName(heavy)
 
 
 def assign(docs: DataFrame, shards: int, *, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with shard and slot. The plan reads key, size and hash of each row; the rows move once."""
     outputs = {"shard", "slot"}
-    keep = [c for c in docs.columns if c.lower() not in outputs]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in outputs]
     wide = docs.select(F.struct(*keep).alias("row"), F.col(doc_key).alias("k"), group_of(F.col(text)).alias("g"), size_of(F.col(text)).alias("size"))
     plan = make_plan(wide.select("k", "g", "size"), shards)
     return place(wide, plan).select("row.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
