@@ -4,6 +4,20 @@ texts too) have no copy in it and go there, whatever their source's ratio.
 
 Each stage gets all that the one before kept, reread from Parquet, and returns the columns of documents; the last
 adds shard and slot.
+
+Odd rows have a defined result in every stage. Extra columns pass through all of them unchanged, whatever their names
+(shard and slot are replaced by the last), an empty table gives no rows, and nulls may stand in any column:
+
+- toxicity: a null text has the score of an empty one; without labels nothing is toxic unless toxic labels prevail.
+  Repeated rows have one score and stay or go together. Ties with the cut go.
+- n-gram Jaccard join: documents without a word link with nothing and all stay. Of rows alike in key and text one stays.
+  Where several texts of a group share its smallest doc_id, one row of each such text stays; null keys stay only in
+  groups that have no other.
+- benchmark decontamination: null, empty and blank texts hold nothing and stay; repeated rows stay or go together; a
+  document that holds exactly the wanted share of an item goes.
+- mixing: a null source is a source; rows alike in key, text and source share one draw of copies each, all of which
+  the first of them carries; of rows equal in size, hashes decide.
+- sharding: a null text has 8 bytes and the place of an empty one; null keys come first; each repeated row has a slot.
 """
 
 from __future__ import annotations
