@@ -52,6 +52,8 @@ from tillgrain.llm.session import received, released, row_id, sent, stored
 
 #: Counters of the sketch of shingle counts
 SKETCH = 1 << 20
+#: Counters that leave a task in one Arrow batch, of about 1 MB
+SKETCH_ROWS = 1 << 14
 #: A region of more nodes has its pivots found in two steps
 HOT = 1 << 17
 #: Shingles that a cell joined in one task may have, and its nodes
@@ -119,8 +121,9 @@ def first_pass(docs: DataFrame, n: int, *, doc_key: str, text: str) -> DataFrame
                 kinds = [batch.column(0).type, batch.column(1).type]
                 size, node, more, counts = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(node), pa.array(more), pa.array([c.tobytes() for c in counts], pa.binary())], names=schema.names)
-        at = np.flatnonzero(sketch)
-        if len(at):
+        # in small batches: one of all counters would have the JVM keep some 50 MB of buffers for each of its threads
+        every = np.flatnonzero(sketch)
+        for at in np.split(every, range(SKETCH_ROWS, len(every), SKETCH_ROWS)) if len(every) else []:
             none = [pa.nulls(len(at), k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(at), -1)), pa.array(at), pa.array(sketch[at]), pa.nulls(len(at), pa.binary())], names=schema.names)
 
