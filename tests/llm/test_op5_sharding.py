@@ -65,6 +65,27 @@ def test_odd_rows(spark, frame, odd):
     assert sharding.assign(frame([(1, None)]), 24).count() == 1
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_key_and_text_are_divided(spark, frame, rng, monkeypatch, key):
+    rows = [(i, words(rng, rng.randrange(1, 80)), "en", "s") for i in range(600)]
+    rows += [(key, "same text " * 20, "en", "s")] * 700
+    df = frame(rows, extra=True)
+    most = []
+    place = sharding.place
+
+    def watched(keyed, plan):
+        most.extend(r["count"] for r in sharding._with_piece(keyed, plan).where("piece IS NOT NULL").groupBy("g", "piece").count().collect())
+        return place(keyed, plan)
+
+    monkeypatch.setattr(sharding, "place", watched)
+    out = sharding.assign(df, 6)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    out = out.collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows)
+    held(out, 6)
+    assert max(most) < 700 / 6  # no task has them all
+
+
 def test_write(spark, frame, tmp_path):
     sharding.write_shards(frame([(i, str(i)) for i in range(50)]), 4, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).select("shard").distinct().count() == 4

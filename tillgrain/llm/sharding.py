@@ -6,7 +6,8 @@ small aggregations, none of which needs a group in one task:
 1. Groups of equal texts that hold more than 1/``FINE`` of a shard (at most shards * FINE of them exist) are
    *heavy*. A heavy group becomes pieces by a hash of the key; one that no shard can hold is spread piece
    by piece (an overfull range is subdivided), any other keeps to one shard. The largest go first, each to
-   the shard with the most room.
+   the shard with the most room. Rows that share key and text and are more than a piece are stored with a
+   number each, which enters the hash.
 2. Of the other, light groups, a sample of keys is drawn with chances in proportion to size; its quantiles
    are the splitters of ``shards * 16`` ranges, or of one for each ``RANGE_BYTES``. Rows are counted by range.
 3. Ranges fill the shards' remaining room in order. A range that straddles a boundary is subdivided where
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillgrain.llm.session import stored
+
 FINE = 64
 SPLITS = 16
 SAMPLE = 16_384
@@ -76,17 +79,48 @@ def _with_piece(keyed: DataFrame, plan: Plan) -> DataFrame:
     if not plan.pieces:
         return keyed.withColumn("piece", F.lit(None).cast("int"))
     heavy = F.broadcast(keyed.sparkSession.createDataFrame(list(plan.pieces.items()), "g long, pieces long"))
-    return keyed.join(heavy, "g", "left").withColumn("piece", F.pmod(F.xxhash64("k", F.lit(29)), F.col("pieces")).cast("int")).drop("pieces")
+    return keyed.join(heavy, "g", "left").withColumn("piece", F.pmod(F.xxhash64(*_names(keyed), F.lit(29)), F.col("pieces")).cast("int")).drop("pieces")
 
 
-def make_plan(keyed: DataFrame, shards: int) -> Plan:
-    """``keyed``: k (any type), g (group hash), size."""
-    plan = Plan(shards)
+def _names(keyed: DataFrame) -> list[str]:
+    return ["k", "tie"] if "tie" in keyed.columns else ["k"]
+
+
+def measure(keyed: DataFrame, shards: int) -> tuple[int, dict[int, int]]:
+    """All bytes, and those of each heavy group."""
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
+    heavy = keyed.groupBy("g").agg(F.sum("size").alias("b")).where(F.col("b") > total / shards / FINE)
+    return total, {r.g: r.b for r in heavy.collect()}
+
+
+def repeated(keyed: DataFrame, shards: int, measured: tuple[int, dict[int, int]]) -> list[tuple[int, int]]:
+    """(group hash, key hash) of the rows of one key and text that are more than a piece: shards * FINE at most."""
+    total, heavy = measured
+    if not heavy:
+        return []
+    groups = F.broadcast(keyed.sparkSession.createDataFrame([(g,) for g in heavy], "g long"))
+    same = keyed.join(groups, "g").groupBy("g", F.xxhash64("k").alias("c")).agg(F.sum("size").alias("b")).where(F.col("b") > total / shards / FINE)
+    return sorted((r.g, r.c) for r in same.collect())
+
+
+def told_apart(keyed: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
+    """Adds tie, a number that tells the rows of ``repeated`` apart; these are stored first, so that each keeps its number."""
+    none = F.lit(0).cast("long").alias("tie")
+    if not often:
+        return keyed.select("*", none)
+    marks = F.broadcast(keyed.sparkSession.createDataFrame([(*x, True) for x in often], "g long, c long, often boolean"))
+    marked = keyed.withColumn("c", F.xxhash64("k")).join(marks, ["g", "c"], "left")
+    same = stored(marked.where("often").select(*keyed.columns, F.monotonically_increasing_id().alias("tie")))
+    return marked.where("often IS NULL").select(*keyed.columns, none).unionByName(same)
+
+
+def make_plan(keyed: DataFrame, shards: int, measured: tuple[int, dict[int, int]] | None = None) -> Plan:
+    """``keyed``: k (any type), g (group hash), size, and tie where ``told_apart`` added it."""
+    plan = Plan(shards)
+    total, heavy = measured or measure(keyed, shards)
     if not total:
         return plan
     share = total / shards
-    heavy = {r.g: r.b for r in keyed.groupBy("g").agg(F.sum("size").alias("b")).where(F.col("b") > share / FINE).collect()}
     plan.pieces = {g: max(1, int(-(-b * FINE // share))) for g, b in heavy.items()}
     room = [share] * shards
     if heavy:
@@ -154,18 +188,23 @@ def place(keyed: DataFrame, plan: Plan) -> DataFrame:
     if not plan.placed:
         return out
     homes = F.broadcast(keyed.sparkSession.createDataFrame([(g, piece, shard, slot) for (g, piece), (shard, slot) in plan.placed.items()], "g long, piece int, shard int, start long"))
-    in_piece = F.row_number().over(W.partitionBy("g", "piece").orderBy("k"))
+    in_piece = F.row_number().over(W.partitionBy("g", "piece").orderBy(*_names(keyed)))
     heavy = marked.where("piece IS NOT NULL").withColumn("within", in_piece).join(homes, ["g", "piece"]).withColumn("slot", F.col("within") - 1 + F.col("start")).drop("piece", "within", "start")
     return out.unionByName(heavy)
 
 
 def assign(docs: DataFrame, shards: int, *, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with shard and slot. The plan reads key, size and hash of each row; the rows move once."""
+    """``docs`` with shard and slot. The plan reads key, size and hash of each row, stored once; the rows move once."""
     outputs = {"shard", "slot"}
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in outputs]
     wide = docs.select(F.struct(*keep).alias("row"), F.col(doc_key).alias("k"), group_of(F.col(text)).alias("g"), size_of(F.col(text)).alias("size"))
-    plan = make_plan(wide.select("k", "g", "size"), shards)
-    return place(wide, plan).select("row.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    narrow = stored(wide.select("k", "g", "size"))
+    measured = measure(narrow, shards)
+    often = repeated(narrow, shards, measured)
+    told = told_apart(wide, often)
+    narrow = stored(told.select("k", "g", "size", "tie")) if often else told_apart(narrow, often)
+    plan = make_plan(narrow, shards, measured)
+    return place(told, plan).select("row.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, shards: int, path: str, **options) -> None:
