@@ -103,3 +103,17 @@ def test_mixed_keeps_columns_and_tells_null_cells_apart(spark, frame):
     out = mixing.mixed(df).collect()
     assert {(r.row, r.digest, r._digest, r.copies, r.number, r.whole, r.id) for r in out} == {("x", "x", "x", "y", "y", "y", "y")}
     assert df.select(mixing.row_id("doc_id", "text", "source").alias("i")).distinct().count() == 4 and all(r.text is not None for r in out)
+
+
+def test_wordless_documents_have_copies_by_number(spark, frame, rng):
+    docs = [(i, words(rng, 30) if i % 2 else None, "en", "abc"[i % 3]) for i in range(600)] + [(1000 + i, " ", "en", "d") for i in range(5)]
+    rows = mixing.mix(frame(docs)).collect()
+    check([r for r in rows if r.doc_id < 1000], [d for d in docs if d[0] < 1000], 30)
+    source = {d: s for d, _, _, s in docs}
+    for s in "abc":
+        ratio = next(r.target / r.source_size for r in rows if source[r.doc_id] == s)
+        blank = [r.copies for r in rows if source[r.doc_id] == s and not r["size"]]
+        assert all(int(ratio) <= c <= int(ratio) + 1 for c in blank)
+        copies = [r.copies for r in rows if source[r.doc_id] == s]
+        assert abs(sum(copies) - ratio * len(copies)) <= 2
+    assert [r.copies for r in rows if source[r.doc_id] == "d"] == [0] * 5 and all(r.taken == 0 for r in rows if not r["size"])

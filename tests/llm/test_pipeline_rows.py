@@ -89,7 +89,7 @@ def test_run_by_brute_force(spark, tmp_path):
     for s, goal in target.items():
         assert abs(taken[s] - goal) <= max(size.values())
         full = goal // total[s]
-        assert all(full <= copies[d] <= full + 1 for d in kept if source[d] == s and size[d])
+        assert all(full <= copies[d] <= full + 1 for d in kept if source[d] == s)
     slots = Counter((r.shard, r.slot) for r in out)
     shards = Counter(r.shard for r in out)
     assert set(slots.values()) == {1} and set(shards) <= set(range(p.SHARDS)) and all({q for z, q in slots if z == s} == set(range(n)) for s, n in shards.items())

@@ -12,9 +12,10 @@ the sum closest to the target, and one exchange of two documents may follow. Lar
 All draws come from hashes, so reruns agree. A source may hold any share of the rows: its blocks are as
 many as its rows need. The driver sees one row per source.
 
-Special cases: a null or blank text has size 0 and is taken as whole copies of nothing (taken 0). Null is a
-source of its own, the last one. Rows with one key are separate units; equal ones may be swapped. An empty
-table gives an empty result. Other columns are ignored.
+Special cases: a null or blank text has size 0, so it takes no words (taken 0), but has copies as any other document
+of its source: the draw balances them with the others by number. A source without any word has target 0 and
+no copies. Null is a source of its own, the last one. Rows with one key are separate units; equal ones may be
+swapped. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,12 +163,11 @@ def mix(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", source:
     wanted = targets([(r.s, int(r.n)) for r in found], weights, share, most)
     plan = [(r.s, i, int(r.n), wanted[r.s], wanted[r.s] / r.n if r.n else 0.0) for i, r in enumerate(sorted(found, key=lambda r: (r.s is None, r.s or "")))]
     plan = F.broadcast(spark.createDataFrame(plan, "s2 string, source int, source_size long, target double, ratio double"))
-    # documents of size 0 move nothing; they stay out of the draw
     units = narrow.join(plan, narrow.s.eqNullSafe(plan.s2)).select(
-        "source", F.col("id.a").alias("key"), F.col("id.b").alias("more"), "k", "size", "source_size", "target", F.floor("ratio").cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0).alias("p")
+        "source", F.col("id.a").alias("key"), F.col("id.b").alias("more"), "k", "size", "source_size", "target", F.floor("ratio").cast("long").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("p")
     )
     drawn = balanced(units, block=block)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0)).cast("long")
+    copies = F.col("whole") + F.col("p").cast("long")
     return drawn.select(F.col("k").alias(doc_key), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.struct(F.col("key").alias("a"), F.col("more").alias("b")).alias("id"))
 
 
@@ -175,7 +175,7 @@ def mixed(docs: DataFrame, *, doc_key: str = "doc_id", text: str = "text", sourc
     """The mix itself: every document as many times as the mix takes it, all columns as they came, whatever their names.
 
     Rows are found again by their bits. Only the copies of rows alike in key, text and source add up in one of them. Nulls in
-    any column pass through; a document without a word has no copy; an empty table gives no rows.
+    any column pass through; sources without any word have no copies; an empty table gives no rows.
     """
     decided = mix(docs, doc_key=doc_key, text=text, source=source, **options).where("copies > 0").groupBy("id").agg(F.sum("copies").cast("int").alias("copies"))
     # of rows alike in key, text and source the first carries the copies of all
