@@ -1,6 +1,6 @@
 """A corpus from raw documents: toxic documents and near copies go, benchmark passages go, sources are mixed to their
-target weights, and what is left is dealt into shards. The mix counts words: documents without a word (null or blank
-texts too) have no copy in it and go there, whatever their source's ratio.
+target weights, and what is left is dealt into shards. The mix counts words, but documents without a word (null or blank
+texts too) have copies by their source's ratio as others do; only those of sources without any word go there.
 
 Each stage gets all that the one before kept, reread from Parquet, and returns the columns of documents; the last
 adds shard and slot.
