@@ -98,3 +98,11 @@ def test_recall_of_planted_templates(spark, frame, rng):
     dropped = sum(r.n_dropped for r in out)
     own_kept = all(set(rows[r.doc_id][1].split("\n")[:3]) <= set(r.text.split("\n")) for r in out)
     assert dropped >= 0.9 * planted and own_kept
+
+
+def test_counts_of_tokens_are_not_joined(spark):
+    kinds = spark.createDataFrame([(1, 1, "a b c", 4, 3), (1, 1, "a b d", 3, 3), (1, 1, "a e d", 1, 3), (2, 2, "x y", 5, 3)], "leaf long, node long, general string, n long, enough int")
+    tried = loglines._fits(kinds, 0.6)
+    assert {r.general: r.fits for r in tried.collect()} == {"a b c": True, "a b d": True, "a e d": False, "x y": True}
+    # a place's counts are summed, not met with totals of the node
+    assert "Join Inner" not in tried._jdf.queryExecution().optimizedPlan().toString()

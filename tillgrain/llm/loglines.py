@@ -67,16 +67,16 @@ def _with_leaf(lines: DataFrame) -> DataFrame:
 
 
 def _counts(kinds: DataFrame) -> DataFrame:
-    """(node, place, token, n): lines by node and token (hashed) of a place."""
-    places = kinds.select("node", "n", F.posexplode(F.split("general", " ")).alias("place", "token"))
-    return places.groupBy("node", "place", F.xxhash64("token").alias("token")).agg(F.sum("n").alias("n"))
+    """(node, place, token, n, enough): lines by node and token (hashed) of a place."""
+    places = kinds.select("node", "n", "enough", F.posexplode(F.split("general", " ")).alias("place", "token"))
+    return places.groupBy("node", "place", F.xxhash64("token").alias("token")).agg(F.sum("n").alias("n"), F.first("enough").alias("enough"))
 
 
 def _fits(kinds: DataFrame, similar: float) -> DataFrame:
     """``kinds`` with fits: whether the template of the node has enough of the line's tokens."""
-    # more than half: at most one token a place, so no ties
-    totals = kinds.groupBy("node").agg(F.sum("n").alias("total"))
-    fixed = _counts(kinds).join(totals, "node").where("2 * n > total")
+    # more than half: at most one token a place, so no ties. All lines of a node have all its places: a place's lines are the node's
+    places = _counts(kinds).groupBy("node", "place").agg(F.sum("n").alias("total"), F.max(F.struct("n", "token")).alias("top"))
+    fixed = places.select("node", "place", "total", "top.*").where("2 * n > total")
     template = fixed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("template"))
     hashes = F.transform(F.split("general", " "), lambda t: F.xxhash64(t))
     hits = F.size(F.filter(F.transform(hashes, lambda h, i: F.element_at(F.col("template"), i) == h), lambda x: x))
@@ -87,7 +87,7 @@ def _fits(kinds: DataFrame, similar: float) -> DataFrame:
 def _split(kinds: DataFrame) -> DataFrame:
     """``kinds`` of nodes whose template fits no line, dealt to smaller nodes by the tokens of one place; without nodes that have no such place."""
     # of a node all lines have one number of tokens, and so one number of documents that is enough
-    counts = _counts(kinds).join(kinds.groupBy("node").agg(F.first("enough").alias("enough")), "node")
+    counts = _counts(kinds)
     often = F.col("n") >= F.col("enough")
     places = counts.groupBy("node", "place").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("cover"), F.count(F.when(often, 1)).alias("tokens")).where("top < total AND cover > 0")
     # tokens that recur tell families apart best where they cover most lines, and the fewer the better: fields have many
