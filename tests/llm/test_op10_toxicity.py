@@ -118,3 +118,22 @@ def test_wide_filters_learn_word_order(spark, frame, rng):
     got = {r.doc_id: r.score for r in toxicity.score(frame(rows), net).collect()}
     held = [i for i in range(1200) if i % 3 == 0]
     assert sum((got[i] >= toxicity.CUT) == bool(labels[i][1]) for i in held) / len(held) > 0.8
+
+
+def test_every_labelled_row_is_trained_on(spark, frame, rng, monkeypatch):
+    """More labelled rows than a record holds: each is in one, and reruns agree."""
+    rows = [(i, f"w{i % 700} w{i % 31} " + ("grumf" if i % 5 == 0 else "fine") + (" lurgh" if i % 1300 == 0 else "") + f" u{i}", "en", "s") for i in range(13_000)]
+    label = spark.createDataFrame([(r[0], int(r[0] % 5 == 0)) for r in rows], "doc_id long, toxic int")
+    records = []
+    monkeypatch.setattr(toxicity, "_packed", lambda *a, own=toxicity._packed: records.append(own(*a)) or records[-1])
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "released", lambda *frames: None)
+    net = toxicity.train(frame(rows).repartition(5), label)
+    got = [len(np.frombuffer(r.label, np.int32)) for r in records[0].collect()]
+    assert len(got) == 2 and sum(got) == 13_000
+    bucket = int(toxicity._buckets(next(kernel.slices(pa.array(["lurgh"]))))[0][0])
+    assert bucket in set(net.known.tolist())
+    scores = {r.doc_id: r.score for r in toxicity.score(frame(rows), net).where("doc_id < 1000").collect()}
+    assert sum((scores[i] >= toxicity.CUT) == (i % 5 == 0) for i in scores) > 970
+    again = toxicity.train(frame(rows).repartition(3), label)
+    assert np.array_equal(again.embed, net.embed)
