@@ -106,3 +106,13 @@ def test_counts_of_tokens_are_not_joined(spark):
     assert {r.general: r.fits for r in tried.collect()} == {"a b c": True, "a b d": True, "a e d": False, "x y": True}
     # a place's counts are summed, not met with totals of the node
     assert "Join Inner" not in tried._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_all_alike_are_not_counted_by_token(spark, frame, monkeypatch):
+    """Leaves of one repeated line need no counts; a leaf of different lines does."""
+    rows = [(i, "the same line in every text\n" + f"one two three fixed words and {'abc'[i % 3]} end", "en", "s") for i in range(9)]
+    counted = []
+    monkeypatch.setattr(loglines, "_counts", lambda kinds, own=loglines._counts: counted.append({r.general for r in kinds.collect()}) or own(kinds))
+    got = {r.doc_id: r.n_dropped for r in loglines.dedup(frame(rows)).collect()}
+    assert got == {i: 2 for i in range(9)}
+    assert counted and all(len(c) == 3 and not any(x.startswith("the same") for x in c) for c in counted)

@@ -74,14 +74,18 @@ def _counts(kinds: DataFrame) -> DataFrame:
 
 def _fits(kinds: DataFrame, similar: float) -> DataFrame:
     """``kinds`` with fits: whether the template of the node has enough of the line's tokens."""
+    # lines of a node that are all alike are its template: only nodes of different lines are counted, token by token
+    several = kinds.groupBy("node").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("node", F.lit(True).alias("several"))
+    told = kinds.join(several, "node", "left")
+    counts = _counts(kinds.join(several.select("node"), "node", "left_semi"))
     # more than half: at most one token a place, so no ties. All lines of a node have all its places: a place's lines are the node's
-    places = _counts(kinds).groupBy("node", "place").agg(F.sum("n").alias("total"), F.max(F.struct("n", "token")).alias("top"))
+    places = counts.groupBy("node", "place").agg(F.sum("n").alias("total"), F.max(F.struct("n", "token")).alias("top"))
     fixed = places.select("node", "place", "total", "top.*").where("2 * n > total")
     template = fixed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("template"))
     hashes = F.transform(F.split("general", " "), lambda t: F.xxhash64(t))
     hits = F.size(F.filter(F.transform(hashes, lambda h, i: F.element_at(F.col("template"), i) == h), lambda x: x))
-    fits = F.col("template").isNotNull() & (hits >= similar * F.size(hashes))
-    return kinds.join(template, "node", "left").select(*kinds.columns, fits.alias("fits"))
+    fits = F.col("several").isNull() | (F.col("template").isNotNull() & (hits >= similar * F.size(hashes)))
+    return told.join(template, "node", "left").select(*kinds.columns, fits.alias("fits"))
 
 
 def _split(kinds: DataFrame) -> DataFrame:
