@@ -52,3 +52,27 @@ def test_missing_targets_and_later_days_are_not_learnt(spark):
     edges, model = boosting.cuts(df, ["a"]), boosting.Model(0, 14640)
     boosting.fit(boosting.stored(boosting.binned(df, ["a"], F.unix_date("day"), ["u"], edges)), [model], 1, 2, 0.1)
     assert all(r.p == pytest.approx(5.0, abs=0.02) for r in boosting.predicted(df, ["a"], edges, F.lit(0), [[model]], ["p"], 0.1).collect())
+
+
+def test_residuals_are_taken_once_a_tree_and_never_written(spark, monkeypatch):
+    df = rows(spark, 3)
+    edges = boosting.cuts(df, X)
+    taken, passes, held = spark.sparkContext.accumulator(0), [], []
+    counted, left = boosting._histograms, boosting._residuals
+
+    def of_blocks(frame, *more):
+        def seen(batches):
+            for b in batches:
+                taken.add(b.num_rows)
+                yield b
+
+        own = [c for c in frame.columns if not c.startswith("top")]
+        held.append(left(frame.select(own).mapInArrow(seen, ", ".join(f"{c} binary" for c in own)), *more))
+        return held[-1]
+
+    monkeypatch.setattr(boosting, "_residuals", of_blocks)
+    monkeypatch.setattr(boosting, "_histograms", lambda frame, *more: passes.append((frame.storageLevel.useMemory, frame.storageLevel.useDisk)) or counted(frame, *more))
+    frame = boosting.stored(boosting.binned(df, X, F.unix_date("day"), ["u", "v"], edges))
+    boosting.fit(frame, [boosting.Model(0, 20000), boosting.Model(1, 20000)], len(X), 2, 0.1)
+    assert len(passes) == 10 and set(passes) == {(True, False)}
+    assert taken.value == 2 * frame.count() and not any(f.is_cached for f in held)
