@@ -4,7 +4,8 @@ import random
 from datetime import date, timedelta
 
 from tillgrain import queries
-from tillgrain.operators import customers
+from tillgrain.operators import customers, recommender
+from tillgrain.plans import report
 from tillgrain.warehouse import Warehouse
 
 DAY = date(2010, 6, 1)
@@ -46,3 +47,17 @@ def test_customers_and_baskets_need_no_numbered_lines(spark, folder, monkeypatch
         narrow, full = getattr(w, name), getattr(numbered, name)
         assert narrow.exceptAll(full).isEmpty() and full.exceptAll(narrow).isEmpty()
     assert not {"raw_lines", "stg_lines", "fact_sales"} & set(w.__dict__)
+
+
+def test_recommendation_examples_pair_only_the_top_products_and_number_no_lines(spark, folder, monkeypatch):
+    monkeypatch.setattr(queries, "_WAREHOUSES", {})
+    monkeypatch.setattr(queries, "_MORE", {})
+    monkeypatch.setattr(recommender.item_counts, "__defaults__", (1,))
+    monkeypatch.setattr(report, "PRODUCTS_RECOMMENDED", 40)
+    got = queries.QUERIES["recommendation_examples"](spark, folder)
+    w = queries.warehouse(spark, folder)
+    assert not {"raw_lines", "stg_lines", "fact_sales"} & set(w.__dict__) and not queries._MORE
+    whole = Warehouse.of_orders(spark, folder)
+    near = recommender.neighbours(recommender.similarity(recommender.baskets(whole.mart_basket), 1))
+    want = report.recommendation_examples(whole.mart_product, near, whole.dim_product, 40)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("stock_code").distinct().count() == 40
